@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing
-from .common import read
+from . import jpeg, language, mixing, quality
+from .common import hash_mod, read
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(hash_mod("doc_id", 5) != 0))
+    return language.identify(docs, *model).select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = hash_mod("doc_id", 4) == 2
+    out = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +42,10 @@ SELECT doc_id, size, source_size, target,
   (greatest(0, least(size, floor(target)::BIGINT - start_of)) + greatest(0, least(size, floor(target)::BIGINT - start_of - source_size)) + greatest(0, least(size, floor(target)::BIGINT - start_of - 2 * source_size)))::BIGINT AS taken FROM q
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_mixing": op7_mixing}
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
