@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, mixing, quality
+from . import jpeg, language, mixing, packing, quality
 from .common import hash_mod, read
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.train(docs.where(hash_mod("doc_id", 5) != 0))
@@ -47,5 +57,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
