@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, mixing, packing, quality
+from . import jpeg, language, mixing, packing, quality, simhash
 from .common import hash_mod, read
 
 
@@ -53,9 +53,14 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
