@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, mixing, packing, quality, simhash
+from . import jpeg, language, mixing, packing, quality, simhash, suffixes
 from .common import hash_mod, read
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
@@ -62,5 +66,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
