@@ -8,8 +8,6 @@ from pyspark.sql import Window as W
 
 from .common import WORD, table
 
-ROWS_A_BUCKET = 20_000
-
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """(source, source_size, n, target) of sizes(source, size).
@@ -47,8 +45,8 @@ def weighted_fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap
     source's taken words differ from its target by less than one word, and no document is taken more than
     `cap` times.
 
-    Running sums go by buckets of about ROWS_A_BUCKET rows (a source's hash ranges, then ranges of finish
-    time), so a source with a third of all rows is spread like any other. Null or empty text: size 0, taken 0.
+    Running sums go by buckets, as many as the square root of the rows (a source's hash ranges, then ranges of
+    finish time), so a source with a third of all rows is spread like any other. Null or empty text: size 0, taken 0.
     Null source: a source of its own, the last. Rows that repeat a doc_id are documents of their own. Empty
     tables give empty tables. Other columns are not looked at.
     """
@@ -56,7 +54,7 @@ def weighted_fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap
     sized = table(sized, "sized")
     src = table(source_targets(sized, weights, cap), "sources")
     place = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("double") / 2.0**32
-    rows = sized.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.total", "s.n_all", F.floor(place * F.ceil(F.col("s.n") / ROWS_A_BUCKET)).alias("b"))
+    rows = sized.alias("d").join(src.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.total", "s.n_all", F.floor(place * F.ceil(F.sqrt("s.n"))).alias("b"))
     before = rows.groupBy("source", "b").agg(F.sum("size").alias("words"))
     before = before.select(F.col("source").alias("s"), F.col("b").alias("at"), (F.sum("words").over(W.partitionBy("source").orderBy("b")) - F.col("words")).alias("before"))
     inside = F.sum("size").over(W.partitionBy("source", "b").orderBy("shuffle", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0))
@@ -66,7 +64,7 @@ def weighted_fair_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap
     packets = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("pass")).withColumn("first", F.col("start_of") + F.col("pass") * F.col("source_size"))
     served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("first")))
     packets = packets.withColumn("served", served).where("served > 0").withColumn("finish", (F.col("first") + F.col("size")).cast("double") / F.col("target"))
-    packets = packets.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(1.0)) * F.ceil(F.col("n_all") / ROWS_A_BUCKET)))
+    packets = packets.withColumn("range", F.floor(F.least(F.col("finish"), F.lit(1.0)) * F.ceil(F.sqrt("n_all"))))
     ahead = packets.groupBy("range").agg(F.sum("served").alias("words")).select(F.col("range").alias("r"), (F.sum("words").over(W.orderBy("range")) - F.col("words")).alias("ahead"))
     inside = F.sum("served").over(W.partitionBy("range").orderBy("finish", "shuffle", "pass", "source", "start_of").rowsBetween(W.unboundedPreceding, 0))
     packets = packets.withColumn("upto", inside).join(ahead, F.col("range") == F.col("r")).withColumn("start", F.col("ahead") + F.col("upto") - F.col("served"))

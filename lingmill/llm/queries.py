@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, mixing, packing, quality, simhash, suffixes
+from . import jpeg, language, mixing, packing, quality, simhash, suffixes, topk
 from .common import hash_mod, read
 
 
@@ -31,6 +31,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, *model).select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p QUALIFY rank <= 5
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = hash_mod("doc_id", 4) == 2
     out = quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
@@ -66,5 +79,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
+ORACLE_SQL: dict[str, str] = {"op5_top_k": OP5_SQL, "op7_mixing": OP7_SQL}
