@@ -3,69 +3,20 @@
 from __future__ import annotations
 
 import heapq
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, small_batches, table, to_batch
+from .subwords import LOWER_WORDS, Ids
 
 #: Pieces that one task packs, at most on average; what a task leaves open is a few sequences among thousands.
 PIECES_A_TASK = 60_000
-#: Runs, and parts of runs, whose ids a Python worker keeps.
-KEPT = 500_000
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_MADE: dict[str, Ids] = {}
-
-
-class Ids:
-    """Ids of texts by a `tokenizers` file that lower-cases, drops white space and never joins across it.
-
-    Each run without white space is looked up; a new one is split as the file splits it and its parts are
-    looked up; new parts are encoded, a batch of texts at a time. What is kept is bounded in number. Runs with
-    characters from U+0250 on, or that may hold a special token, are encoded whole; so are texts with the
-    characters that str.split() takes for white space and the file doesn't.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.runs, self.parts = Tokenizer.from_file(path), {}, {}
-
-    @staticmethod
-    def of(path: str) -> Ids:
-        """One for each Python worker and file."""
-        if path not in _MADE:
-            _MADE[path] = Ids(path)
-        return _MADE[path]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(texts), 8192) for e in self.tokenizer.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        runs, parts = self.runs, self.parts
-        new = list(set().union(*split).difference(runs))
-        whole = [r for r in new if max(r) >= "\u0250" or "<|" in r]
-        cut = {r: _SPLIT.findall(r.lower()) for r in set(new).difference(whole)}
-        new_parts = list({p for x in cut.values() for p in x}.difference(parts))
-        parts.update(zip(new_parts, self._encode(new_parts)))
-        runs.update(zip(whole, self._encode(whole)))
-        for r, x in cut.items():
-            runs[r] = b"".join([parts[p] for p in x]) if len(x) != 1 else parts[x[0]]
-        out = [np.frombuffer(self._encode([t])[0] if o else b"".join(map(runs.__getitem__, x)), "<u4") for t, x, o in zip(texts, split, odd)]
-        for kept, added in ((runs, new), (parts, new_parts)):
-            for x in added[max(0, len(added) - max(0, len(kept) - KEPT)) :]:
-                del kept[x]
-        return out
 
 
 def cut(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
@@ -75,7 +26,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> D
     arrow = arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = Ids.of(tokenizer), np.array([end_id], "<u4")
+        ids_of, end = Ids.of(tokenizer, LOWER_WORDS), np.array([end_id], "<u4")
         for b in batches:
             out: dict = {k: [] for k in arrow.names}
             for doc, ids in zip(b.column(0).to_pylist(), ids_of([t or "" for t in b.column(1).to_pylist()])):

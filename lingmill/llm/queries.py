@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, mixing, packing, quality, simhash, suffixes, topk
+from . import jpeg, language, lm, mixing, packing, quality, simhash, suffixes, topk
 from .common import hash_mod, read
 
 
@@ -70,6 +70,11 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_texts(read(spark, sf_dir, "documents"), hash_mod("doc_id", 5) != 1, tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,5 +84,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm_score": op8_lm_score, "op9_simhash": op9_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op5_top_k": OP5_SQL, "op7_mixing": OP7_SQL}
