@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, language, lm, mixing, packing, quality, simhash, suffixes, topk
+from . import html_crf, jpeg, language, lm, mixing, packing, quality, simhash, suffixes, topk
 from .common import hash_mod, read
 
 
@@ -31,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, *model).select("doc_id", (hash_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -84,5 +88,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.read_back(jpeg.store_texts(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm_score": op8_lm_score, "op9_simhash": op9_simhash, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_language_id": op3_language_id, "op4_html": op4_html, "op5_top_k": op5_top_k, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm_score": op8_lm_score, "op9_simhash": op9_simhash, "op10_media": op10_media}
 ORACLE_SQL: dict[str, str] = {"op5_top_k": OP5_SQL, "op7_mixing": OP7_SQL}
