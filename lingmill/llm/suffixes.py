@@ -10,7 +10,7 @@ common prefix; blocks that are still undivided at LENGTH bytes are the repeated
 again.
 
 Symbols are SYMBOL bytes wide: a segment is read as SYMBOL interleaved strings, one for each residue, so the
-merge takes LENGTH / SYMBOL rounds. Up to 8 bytes are packed as they are.
+merge takes LENGTH / SYMBOL rounds. Symbols are exact ranks: 8 bytes are packed, wider ones are ranked in pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, small_batches, table, to_batch, utf8
 
-LENGTH, SYMBOL = 200, 8
+LENGTH, SYMBOL = 200, 40
 K = 32  # bytes of a winnowing gram
 CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 2 << 20, 1 << 19
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
@@ -71,19 +71,31 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(first), np.concatenate(count), np.concatenate(key)
 
 
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1."""
+    order = np.argsort(x)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.concatenate([[1], (x[order[1:]] != x[order[:-1]]).astype(np.int64)]).cumsum() if len(x) else x
+    return out
+
+
 def symbols(segments: list[bytes], length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense symbol ranks (from 1) of all places of the joined segments, 0 where fewer than `width` bytes are left; segment starts; sizes."""
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
     starts = np.cumsum(sizes + 1) - sizes - 1  # a byte between segments: each of a segment's strings ends in one place of rank 0
     x = np.frombuffer(b"\0".join(segments) + bytes(width + 1), np.uint8)
-    s = np.zeros(len(x) - width, np.uint64)
-    for i in range(width):  # wider symbols than 8 bytes are hashed
-        s = (s << np.uint64(8) if width <= 8 else s * _B[0]) + x[i : len(x) - width + i]
-    order = np.argsort(s)
-    step = np.concatenate([[1], (s[order[1:]] != s[order[:-1]]).astype(np.int64)]).cumsum()
-    rank = np.zeros(len(s), np.int64)
-    rank[order] = step
-    tail = np.zeros(len(s) + 1, np.int64)
+    n = len(x) - width
+    w = min(width, 8)
+    s = np.zeros(n + width - w, np.uint64)
+    for i in range(w):
+        s = s << np.uint64(8) | x[i : len(x) - w + i]
+    rank = _ranks(s.view(np.int64))
+    while w < width:  # from two ranks of w bytes, which may overlap, one of up to 2 w
+        more = min(w, width - w)
+        rank = _ranks(rank[: len(rank) - more] * np.int64(len(rank) + 1) + rank[more:])
+        w += more
+    rank = rank[:n]
+    tail = np.zeros(n + 1, np.int64)
     np.add.at(tail, np.maximum(starts, starts + sizes - width + 1), 1)
     np.add.at(tail, starts + sizes + 1, -1)
     rank[tail[:-1].cumsum() > 0] = 0
