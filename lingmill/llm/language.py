@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_schema, map_arrow, pieces, small_batches, to_batch
 
@@ -139,7 +140,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: str = "d
     model = spark.sparkContext.broadcast((langs, logp))
     names = [x.strip() for x in keep.split(",")]
     base = docs.select(*names, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in base.schema[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def each(b: pa.RecordBatch) -> dict:
         pred, p = score(b.column(len(names)).to_pylist(), *model.value)

@@ -125,8 +125,8 @@ def block_keys(fp: str, radius: int, blocks: int) -> F.Column:
 def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     """(hi, lo) links that connect what is within the radius among the distinct fps(fp).
 
-    Fingerprints go to shards by the values of two of six blocks of bits: any two within 4 bits agree on two
-    blocks at least, so they meet in a shard. Each shard makes its BK-trees and sends the smallest of each
+    Fingerprints go to shards by the values of blocks - radius of their blocks of bits, once for each choice: any
+    two within the radius agree on as many, so they meet in a shard (4 bits and 6 blocks: 15 choices of two). Each shard makes its BK-trees and sends the smallest of each
     component with each other one. A shard's trees stay in its task: their sum grows with the corpus, so it
     isn't broadcast.
     """
@@ -167,7 +167,7 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     return keyed.repartition("k", "bits").sortWithinPartitions("k", "bits", "fp").mapInArrow(each, schema)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: int = 6) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs(doc_id, text, ...).
 
     component_id is the smallest doc_id that links of at most `radius` differing bits reach. Equal fingerprints
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     """
     fps = table(fingerprints(docs, words), "fingerprints")
     distinct = table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(near_links(distinct.select("fp"), radius))
+    roots = components(near_links(distinct.select("fp"), radius, blocks))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = table(classes, "classes")
     ids = classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))

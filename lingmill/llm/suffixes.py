@@ -287,3 +287,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
 
     small_batches(docs.sparkSession)
     return base.join(hits, F.col("_key") == F.col("k"), "left").select("doc_id", "text", "first", "last").mapInArrow(each, schema)
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs(doc_id, text, n_chars, ...) with the repeated bytes cut out of each text (see remove_repeats) and n_chars counted anew.
+
+    Texts that lose nothing stay as they are, null ones too.
+    """
+    base = with_key(docs)
+    hits = table(repeated_windows(base.select(F.col("_key").alias("key"), "text"), length), "windows").select(F.col("key").alias("_k"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    joined = base.join(hits, F.col("_key") == F.col("_k"), "left")
+    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
+    arrow = arrow_schema(fields)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = {c: b.column(i) for i, c in enumerate(others)}
+            texts, chars = [], []
+            for text, n, first, last in zip(*(b.column(len(others) + i).to_pylist() for i in range(4))):
+                if first:
+                    whole = text.encode()
+                    gone = removed(np.array(first, np.int64), np.array(last, np.int64), length)
+                    text = b"".join([whole[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(whole)])]).decode(errors="ignore")
+                    n = len(text)
+                texts.append(text)
+                chars.append(n)
+            yield to_batch(own | {"text": texts, "n_chars": chars}, arrow)
+
+    small_batches(docs.sparkSession)
+    return joined.select(*others, "text", "n_chars", "_first", "_last").mapInArrow(each, fields)
