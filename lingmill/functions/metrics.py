@@ -10,6 +10,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS, BETA2 = 6, 4
 #: Sufficient statistics of chrF: for each order the n-grams of hypothesis and reference, and those they share.
@@ -26,7 +27,7 @@ def chrf_counts(hyp: str, ref: str) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """18 counts a row; sums over rows give the corpus score. Null counts as empty."""
     return pd.Series([chrf_counts(h or "", r or "") for h, r in zip(hyp, ref)])
@@ -64,7 +65,7 @@ def normal_tokens(text: str) -> list[str]:
     return "".join(" " if c in _PUNCTUATION or unicodedata.category(c)[0] == "P" else c for c in x).split()
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def normalise(text: pd.Series) -> pd.Series:
     return pd.Series([normal_tokens(t or "") for t in text])
 
@@ -94,7 +95,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """F of the longest common subsequence of runs of a-z and 0-9 in lower case, 0 to 100; other scripts have none."""
     import re
@@ -136,4 +137,4 @@ def semantic(hyp: Column, ref: Column, scorer: Scorer = hashed_cosine) -> Column
     def score(h: pd.Series, r: pd.Series) -> pd.Series:
         return scorer(h, r)
 
-    return F.pandas_udf(score, "double")(hyp, ref)
+    return F.pandas_udf(score, T.DoubleType())(hyp, ref)
