@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, map_arrow, pieces, small_batches, to_batch
 
-BITS, ORDERS, CHUNK = 16, (1, 2, 3), 2_000_000
+BITS, ORDERS, CHUNK = 16, (1, 2, 3), 500_000
 _FOLD: list[np.ndarray] = []
 
 

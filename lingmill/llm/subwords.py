@@ -8,7 +8,7 @@ import numpy as np
 import regex
 
 #: Runs, and parts of runs, whose ids a Python worker keeps.
-KEPT = 500_000
+KEPT = 200_000
 #: Kinds of tokenizer files: (what stands before each run, how a run splits, whether the file lower-cases).
 LOWER_WORDS = ("", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), True)
 BYTE_LEVEL = (" ", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), False)
@@ -40,7 +40,7 @@ class Ids:
         return _MADE[path, kind[0]]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(texts), 8192) for e in self.tokenizer.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         odd = [self.lower and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]

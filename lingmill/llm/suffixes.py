@@ -28,7 +28,7 @@ from .common import arrow_schema, small_batches, table, to_batch, utf8
 
 LENGTH, SYMBOL = 200, 40
 K = 32  # bytes of a winnowing gram
-CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 2 << 20, 1 << 19
+CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 1 << 20, 1 << 18
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
 
 
