@@ -278,6 +278,6 @@ def _with_components(fps: DataFrame, distinct: DataFrame, links: DataFrame) -> D
     roots = components(links)
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = table(classes, "classes")
-    ids = classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
+    ids = table(classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id")), "ids")  # alone, the join below can split a large component
     named = table(classes.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "named")
     return fps.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
