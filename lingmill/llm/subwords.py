@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from array import array
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
 
 #: Runs, and parts of runs, whose ids a Python worker keeps.
-KEPT = 200_000
+KEPT = 600_000
 #: Kinds of tokenizer files: (what stands before each run, how a run splits, whether the file lower-cases).
 LOWER_WORDS = ("", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), True)
 BYTE_LEVEL = (" ", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), False)
@@ -40,17 +42,19 @@ class Ids:
         return _MADE[path, kind[0]]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for a in range(0, len(texts), 2048) for e in self.tokenizer.encode_batch_fast(texts[a : a + 2048], add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.lower:  # fewer kinds of runs; other letters' cases may depend on what stands around them
+            texts = [t.lower() if t.isascii() or max(t) < "\u0130" else t for t in texts]
         odd = [self.lower and any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
         return [np.frombuffer(self._encode([t])[0], "<u4") if o else x for t, o, x in zip(texts, odd, self.of_runs([[] if o else t.split() for t, o in zip(texts, odd)]))]
 
     def of_runs(self, split: list[list[str]]) -> list[np.ndarray]:
         runs, parts = self.runs, self.parts
-        new = list(set().union(*split).difference(runs))
-        whole = [r for r in new if max(r) >= "\u0250" or self.lower and "<|" in r]
-        cut = {r: self.split.findall(self.before + (r.lower() if self.lower else r)) for r in set(new).difference(whole)}
+        new = list(set(chain.from_iterable(filterfalse(runs.__contains__, x) for x in split)))
+        whole = [r for r in new if not r.isascii() and max(r) >= "\u0250" or self.lower and "<|" in r]
+        cut = {r: [x] if r.isalpha() else self.split.findall(x) for r in (set(new).difference(whole) if whole else new) for x in [self.before + (r.lower() if self.lower and not r.islower() else r)]}
         new_parts = list({p for x in cut.values() for p in x}.difference(parts))
         parts.update(zip(new_parts, self._encode(new_parts)))
         runs.update(zip(whole, self._encode([self.before + r for r in whole])))
