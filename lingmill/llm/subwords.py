@@ -51,8 +51,21 @@ class Ids:
         return [np.frombuffer(self._encode([t])[0], "<u4") if o else x for t, o, x in zip(texts, odd, self.of_runs([[] if o else t.split() for t, o in zip(texts, odd)]))]
 
     def of_runs(self, split: list[list[str]]) -> list[np.ndarray]:
+        added = self._learn(set(chain.from_iterable(filterfalse(self.runs.__contains__, x) for x in split)))
+        out = [np.frombuffer(b"".join(map(self.runs.__getitem__, x)), "<u4") for x in split]
+        self._forget(*added)
+        return out
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each run has, and all ids in a row."""
+        added = self._learn({w for w in words if w not in self.runs})
+        found = [*map(self.runs.__getitem__, words)]
+        self._forget(*added)
+        return np.array([*map(len, found)], np.int64) // 4, np.frombuffer(b"".join(found), "<u4")
+
+    def _learn(self, new: set[str]) -> tuple[list[str], list[str]]:
         runs, parts = self.runs, self.parts
-        new = list(set(chain.from_iterable(filterfalse(runs.__contains__, x) for x in split)))
+        new = list(new)
         whole = [r for r in new if not r.isascii() and max(r) >= "\u0250" or self.lower and "<|" in r]
         cut = {r: [x] if r.isalpha() else self.split.findall(x) for r in (set(new).difference(whole) if whole else new) for x in [self.before + (r.lower() if self.lower and not r.islower() else r)]}
         new_parts = list({p for x in cut.values() for p in x}.difference(parts))
@@ -60,8 +73,9 @@ class Ids:
         runs.update(zip(whole, self._encode([self.before + r for r in whole])))
         for r, x in cut.items():
             runs[r] = b"".join([parts[p] for p in x]) if len(x) != 1 else parts[x[0]]
-        out = [np.frombuffer(b"".join(map(runs.__getitem__, x)), "<u4") for x in split]
-        for kept, added in ((runs, new), (parts, new_parts)):
+        return new, new_parts
+
+    def _forget(self, new: list[str], new_parts: list[str]) -> None:
+        for kept, added in ((self.runs, new), (self.parts, new_parts)):
             for x in added[max(0, len(added) - max(0, len(kept) - KEPT)) :]:
                 del kept[x]
-        return out
