@@ -10,7 +10,7 @@ import numpy as np
 import regex
 
 #: Runs, and parts of runs, whose ids a Python worker keeps.
-KEPT = 600_000
+KEPT = 300_000
 #: Kinds of tokenizer files: (what stands before each run, how a run splits, whether the file lower-cases).
 LOWER_WORDS = ("", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"), True)
 BYTE_LEVEL = (" ", regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), False)
