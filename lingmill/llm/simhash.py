@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, linked through BK-trees."""
+"""Near-duplicates: 64-bit SimHash fingerprints of word shingles, linked through BK-trees; or sets of shingles, linked by their Jaccard index."""
 
 from __future__ import annotations
 
@@ -8,14 +8,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import LOWER, arrow_schema, map_arrow, small_batches, table, to_batch, utf8
 from .components import components
 
 SEED, PART = 42, 200_000
-LANES, BANDS, BINS = 8, 24, 6  # of sketches
+BANDS, BINS = 32, 6  # of sketches
 
 
 def shingle_hashes(text: bytes, words: int = 4) -> Iterator[np.ndarray]:
@@ -41,41 +45,83 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Another 64 bits from each hash, for each lane."""
-    h = h + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % 2**64)
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from each hash."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: bytes, words: int = 5) -> tuple[bytes, np.ndarray]:
-    """A fingerprint of LANES x 64 bits, and BANDS shard keys: texts of like shingles have one in common.
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    parts = [np.unique(h) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint64)
+
+
+def sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
+    """A signed 64-bit name of a set of shingles, and BANDS shard keys: like sets have one in common.
 
     A key is that of BINS min-hashes: hashes are dealt to bins by their size, each keeps its smallest, an empty one
-    takes the next one's. At a similarity of 0.8 all keys differ in one pair of a thousand, at 0.4 in nine of ten.
+    takes the next one's. At a similarity of 0.8 all keys differ in some six pairs of 100,000, at 0.4 in seven of eight.
     """
-    ones, n, mins = np.zeros((LANES, 64), np.int64), 0, np.full(BANDS * BINS, np.iinfo(np.uint64).max)
-    edges = np.array([i * 2**64 // (BANDS * BINS) for i in range(BANDS * BINS)], np.uint64)
-    for h in shingle_hashes(text, words):
-        for lane in range(LANES):
-            ones[lane] += np.unpackbits(mixed(h, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(h)
-        h = np.sort(mixed(h, LANES))
-        at = np.searchsorted(h, edges)
-        full = np.flatnonzero(np.append(at[1:], len(h)) > at)
-        mins[full] = np.minimum(mins[full], h[at[full]])
-    full = np.flatnonzero(mins != np.iinfo(np.uint64).max)
-    if len(full):
-        mins = mins[full[np.searchsorted(full, np.arange(BANDS * BINS)) % len(full)]]
+    h, bins = np.sort(mixed(s)), BANDS * BINS
+    at = np.searchsorted(h, np.array([i * 2**64 // bins for i in range(bins)], np.uint64))
+    full = np.flatnonzero(np.append(at[1:], len(h)) > at)
+    mins = h[at[full]][np.searchsorted(full, np.arange(bins)) % len(full)] if len(full) else np.full(bins, np.iinfo(np.uint64).max)
     keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), k) for k, x in enumerate(mins.reshape(BANDS, BINS))], np.uint64).view(np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").tobytes(), keys
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), keys
+
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard index of two sorted sets is at least `similarity`."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (least + most - both) - 1e-9
 
-def radius_of(similarity: float) -> int:
-    """Bits of a sketch's fingerprint that differ where texts are as similar: the share acos(2 s / (1 + s)) / pi, and a standard deviation."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(64 * LANES * share + (64 * LANES * share * (1 - share)) ** 0.5)
+
+def exact_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set the least place in its component, where sets are linked by a Jaccard index of at least `similarity`.
+
+    Two such sets have one of their first n - ceil(similarity * n) + 1 shingles in common, in any order of all shingles;
+    here rare ones come first. Sets that are in one component already aren't compared: a dense group costs about its size.
+    """
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    sizes = np.array([len(x) for x in sets])
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, number, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    order = np.lexsort((number, count[number], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = order[(place < np.repeat(sizes - np.ceil(similarity * sizes - 1e-9).astype(int) + 1, sizes)) & (count[number[order]] > 1)]
+    use = use[np.lexsort((owner[use], number[use]))]
+    cuts = np.flatnonzero(np.diff(number[use])) + 1
+    seen, tested = set(), set()
+    for members in sorted(np.split(owner[use], cuts), key=len):
+        if len(members) < 2 or (key := members.tobytes()) in seen:
+            continue
+        seen.add(key)
+        held: dict[int, list[int]] = {}
+        for i in members.tolist():
+            for r in list(held):
+                if (now := find(r)) == find(i):
+                    continue
+                for j in held[r]:
+                    if (j, i) not in tested:
+                        tested.add((j, i))
+                        if alike(sets[j], sets[i], similarity):
+                            root[max(now, find(i))] = min(now, find(i))
+                            break
+            held.setdefault(find(i), []).append(i)
+            for r in [r for r in held if find(r) != r]:
+                held.setdefault(find(r), []).extend(held.pop(r))
+    return [find(i) for i in range(len(sets))]
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -208,37 +254,45 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     return keyed.repartition("k", "bits").sortWithinPartitions("k", "bits", "fp").mapInArrow(each, schema)
 
 
-def sketch_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """(hi, lo) links that connect the distinct(fp, bits, keys) whose fingerprints `bits` are within the radius and that share a key.
+def candidates(keyed: DataFrame) -> DataFrame:
+    """(hi, lo) links from each of keyed(fp, keys) to the smallest that shares a key: sets that are alike are in one component of these."""
+    shards = keyed.select("fp", F.explode("keys").alias("shard")).repartition("shard").distinct()
+    return shards.withColumn("lo", F.min("fp").over(W.partitionBy("shard"))).where("fp > lo").select(F.col("fp").alias("hi"), "lo")
+
 
-    A shard is what has one key. Shards of one member are left out by a count; to the others the fingerprints go,
-    and each makes its BK-trees as in near_links.
+def exact_roots(rows: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(node, root) of the fp in rows(fp, text, keys, row), but those alone: roots are the smallest fp of the components under
+    a Jaccard index of at least `similarity`.
+
+    One text of each fp goes to the task of its component of candidates, where every link is checked by the sets.
     """
-    schema = "hi long, lo long"
+    schema = "node long, root long"
     arrow = arrow_schema(schema)
-    small_batches(distinct.sparkSession, 5_000)
+    wide = table(components(candidates(rows)), "wide")
+    wide = wide.union(wide.select("root", "root").distinct())
+    first = rows.groupBy("fp").agg(F.min("row").alias("first"))
+    wide = table(wide.join(first.hint("merge"), F.col("node") == F.col("fp")).select("fp", "root", "first"), "candidates")
+    small_batches(rows.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, own = None, {}
+        own, nodes, sets = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            rows = [(own[y], min(map(own.get, c))) for c in group(list(own), radius) for y in c] if len(own) > 1 else []
-            if rows := [(a, b) for a, b in rows if a != b]:
-                yield to_batch({"hi": [a for a, _ in rows], "lo": [b for _, b in rows]}, arrow)
+            least = exact_groups(sets, similarity) if len(sets) > 1 else []
+            if pairs := [(nodes[i], nodes[r]) for i, r in enumerate(least) if i != r]:
+                yield to_batch({"node": [a for a, _ in pairs], "root": [b for _, b in pairs]}, arrow)
 
         for b in batches:
-            for key, fp, bits in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if key != shard:
+            for root, fp, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
+                if root != own:
                     yield from close()
-                    shard, own = key, {}
-                own[int.from_bytes(bits, "little")] = fp
+                    own, nodes, sets = root, [], []
+                nodes.append(fp)
+                sets.append(shingle_set(text, words))
         yield from close()
 
-    keyed = distinct.select("fp", F.explode("keys").alias("shard"))
-    many = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("shard").alias("s"))
-    held = keyed.join(many, F.col("shard") == F.col("s")).select("shard", F.col("fp").alias("f"))
-    held = held.join(distinct.select("fp", "bits"), F.col("f") == F.col("fp")).select("shard", "fp", "bits")
-    return held.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(each, schema)
+    held = rows.select("row", "text").join(wide.hint("merge"), F.col("row") == F.col("first")).select("root", "fp", "text")
+    return table(held.repartition("root").sortWithinPartitions("root", "fp").mapInArrow(each, schema), "exact")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: int = 6) -> DataFrame:
@@ -254,28 +308,43 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: in
     return _with_components(fps, distinct, near_links(distinct.select("fp"), radius, blocks))
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) as in near_duplicates, but linked where texts are likely as similar, by the Jaccard index of their shingles.
+def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """docs(text, ...) with columns row (a number of its own), fp and keys, and (node, root): the component of each fp that isn't its own root.
 
-    64 bits are too few for a threshold of 0.8 (at 8 bits they find less than half of such pairs), so fingerprints
-    have LANES x 64 bits here and shards are made by min-hash keys (see sketch); fp stands for a fingerprint.
+    Texts are linked by a Jaccard index of their distinct shingles of at least `similarity`, checked by the shingles themselves
+    (their 64-bit hashes). Which pairs are checked is found by min-hash keys (see sketch). fp names a set of shingles; texts without words have the empty one.
     """
     small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    fields = T.StructType([*docs.schema.fields, *T._parse_datatype_string("row long, fp long, keys array<long>").fields])
+    arrow = to_arrow_schema(fields)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for b in batches:
+            found = [sketch(shingle_set(t, words)) for t in utf8(b.column(at))]
+            columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            yield to_batch(columns | {"row": np.arange(row, row + len(found)), "fp": [x for x, _ in found], "keys": [k.tolist() for _, k in found]}, arrow)
+            row += len(found)
+
+    rows = table(docs.mapInArrow(each, fields), "sketched")
+    return rows, exact_roots(rows, similarity, words)
 
-    def each(b: pa.RecordBatch) -> dict:
-        found = [sketch(t, words) for t in utf8(b.column(1))]
-        return {"doc_id": b.column(0), "fp": [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x, _ in found], "bits": [x for x, _ in found], "keys": [k.tolist() for _, k in found]}
 
-    sketches = table(map_arrow(docs.select("doc_id", "text"), each, "doc_id long, fp long, bits binary, keys array<long>"), "sketches")
-    distinct = table(sketches.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    own = sketches.join(distinct.select(F.col("fp").alias("f"), F.col("first")), (F.col("fp") == F.col("f")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    own = table(own.select("fp", "bits", "keys"), "own")
-    return _with_components(sketches, distinct, sketch_links(own, radius_of(similarity)))
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id) as in near_duplicates, but linked where the Jaccard index of the shingles is at least `similarity` (see similar_rows)."""
+    rows, roots = similar_rows(docs.select("doc_id", "text"), similarity, words)
+    fps = rows.select("doc_id", "fp")
+    ids = table(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    return _named(fps, ids, roots)
 
 
 def _with_components(fps: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
     """fps(doc_id, fp, ...) with the smallest doc_id of the component of their fp; distinct: (fp, first: its smallest doc_id)."""
-    roots = components(links)
+    return _named(fps, distinct, components(links))
+
+
+def _named(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = table(classes, "classes")
     ids = table(classes.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id")), "ids")  # alone, the join below can split a large component

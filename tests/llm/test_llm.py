@@ -261,3 +261,41 @@ def test_pipeline(spark):
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0, name
         assert stage(spark, docs, "").count() > 0, name
+
+
+def jaccard(a, b, words=5):
+    a, b = ({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if (w := (t or "").lower().split()) else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_pairs():
+    """Pairs around similarity 0.8, copies with a repeated line, chains and short texts."""
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    out = []
+    for extra in range(92, 110):  # 404 words are 400 shingles: similarity 400 / (400 + extra), 0.786 to 0.813
+        base = make(404)
+        out += [base, base + make(extra)]
+    for _ in range(20):
+        base = make(404)
+        out += [base, base + make(5) * 10]
+    a = make(104)
+    out += [a, a + make(20), a[20:] + make(1), make(3), make(3) * 2, make(8), out[0], *(a[:k] for k in (5, 6, 7, 8, 9, 30, 60, 84, 90))]
+    out += [a[:9] + make(1), a[1:9], a[:4]]
+    return [" ".join(x) for x in out] + [None, "", "x"]
+
+
+def test_similar_texts_are_exact(spark):
+    docs = near_pairs()
+    want = roots(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if jaccard(docs[i], docs[j]) >= 0.8])
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(documents(spark, docs)).collect()}
+    assert [got[i] for i in range(len(docs))] == want
+
+
+def test_exact_groups():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 40, 200):
+        base = [rng.integers(0, 60, 30) for _ in range(max(n // 8, 1))]
+        sets = [np.unique(np.append(base[rng.integers(len(base))][rng.random(30) < 0.95], rng.integers(0, 60, rng.integers(0, 4)))).astype(np.uint64) for _ in range(n)]
+        near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+        assert simhash.exact_groups(sets, 0.8) == roots(n, [(i, j) for i in range(n) for j in range(i) if near(sets[i], sets[j])])
