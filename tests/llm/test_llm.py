@@ -299,3 +299,12 @@ def test_exact_groups():
         sets = [np.unique(np.append(base[rng.integers(len(base))][rng.random(30) < 0.95], rng.integers(0, 60, rng.integers(0, 4)))).astype(np.uint64) for _ in range(n)]
         near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
         assert simhash.exact_groups(sets, 0.8) == roots(n, [(i, j) for i in range(n) for j in range(i) if near(sets[i], sets[j])])
+
+
+def test_pipeline_keeps_rows_of_equal_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    t = [" ".join(f"t{k}x{i}" for i in range(50)) for k in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (7, t[4]), (3, t[4].upper()), (None, t[3] + " end"), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (3, t[4].upper()), (9, None)], key=str)
