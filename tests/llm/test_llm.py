@@ -308,3 +308,13 @@ def test_pipeline_keeps_rows_of_equal_and_null_ids(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     assert got == sorted([(None, t[0]), (None, t[1]), (None, t[2]), (7, t[3]), (3, t[4].upper()), (9, None)], key=str)
+
+
+def test_op8_counts_of_rare_words(spark, monkeypatch):
+    """However few words count as common, scores are the same; classes of ids are held, as they follow the common words."""
+    monkeypatch.setattr(lm.Model, "set_classes", lambda self, counts, f=lm.Model.set_classes: f(self, np.arange(lm.IDS)[::-1]))
+    score = lambda: {r.doc_id: (r.score, r.base_score, r.n_known) for r in lm.score_texts(documents(spark, texts()), hash_mod("doc_id", 5) != 1, queries.tokenizer_path("byte_bpe_50k.json")).collect()}
+    whole = score()
+    monkeypatch.setattr(lm, "COMMON_WORDS", 60)
+    few = score()
+    assert len(few) == len(whole) and all(few[i] == pytest.approx(whole[i], rel=1e-4, abs=1e-3) for i in whole)
