@@ -318,3 +318,10 @@ def test_op8_counts_of_rare_words(spark, monkeypatch):
     monkeypatch.setattr(lm, "COMMON_WORDS", 60)
     few = score()
     assert len(few) == len(whole) and all(few[i] == pytest.approx(whole[i], rel=1e-4, abs=1e-3) for i in whole)
+
+
+def test_op8_windows():
+    """Every input is scored with its 16 inputs before it, or all there are."""
+    for n in (1, 16, 17, 48, 49, 80, 81, 1000):
+        at = {p: int(w) for w in reversed(lm.windows(n)) for p in range(w + lm.CONTEXT if w else 0, min(w + lm.WINDOW, n))}
+        assert set(at) == set(range(n)) and all(w <= max(p - 16, 0) for p, w in at.items())
