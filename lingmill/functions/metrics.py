@@ -87,12 +87,15 @@ def exact_match(a: Column, b: Column) -> Column:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number (Hyyrö, 2004)."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        same = row & at.get(y, 0)
+        row = (row + same | row - same) & full
+    return len(a) - row.bit_count()
 
 
 @F.pandas_udf(T.DoubleType())

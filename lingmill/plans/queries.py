@@ -551,7 +551,7 @@ def token_f1(spark, d):
 
 @query()
 def rouge_and_semantic(spark, d):
-    rows = _answers(spark, d)
+    rows = sft_pairs(spark, d).withColumnsRenamed({"input": "gold", "output": "pred"})
     return rows.select("conv_id", "turn", F.round(M.rouge_l("pred", "gold"), 4).alias("rouge_l"), F.round(M.semantic(F.col("pred"), F.col("gold")), 4).alias("semantic"))
 
 
@@ -567,7 +567,7 @@ def embedding_score(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
-    return R.bootstrap(rows, "doc_id", "a", "b", draws=200)
+    return R.bootstrap(rows, "doc_id", "a", "b", draws=10_000)
 
 
 @query("SELECT count(*) AS n, round(100 * avg((quality = 0 AND toxic = 0)::INT), 4) AS false_refusal, round(100 * avg(quality) FILTER (toxic = 1), 4) AS refusal_hit FROM labels")

@@ -1,11 +1,14 @@
 """Every registered base query against its SQL in DuckDB, on the smallest tables."""
 
+import hashlib
 import math
 import os
+import random
 
 import pytest
 
 import __spark_entry__
+from lingmill.functions.metrics import lcs
 from lingmill.plans.queries import QUERIES, SQL
 
 #: Interpolated values that lie between two rounded ones may go to either side: how far apart these are.
@@ -55,3 +58,33 @@ def test_contract(spark):
     assert set(SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).columns
+
+
+def test_rouge_of_whole_texts(spark, tmp_path):
+    gold = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(gold.split()[:100] + [f"v{i}" for i in range(200)])
+    spark.createDataFrame([(1, 0, "user", gold), (1, 1, "assistant", other)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    [row] = QUERIES["rouge_and_semantic"](spark, str(tmp_path)).collect()
+    assert row.rouge_l == pytest.approx(100 / 3, abs=1e-4) and row.semantic == pytest.approx(100 / 3, abs=1e-4)
+
+
+def test_lcs():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = last[j - 1] + 1 if x == y else max(last[j], row[j - 1])
+        assert lcs(a, b) == row[-1]
+
+
+def test_bootstrap_draws(spark, tmp_path):
+    """10,000 draws, by brute force."""
+    rows = [(i, i % 3 % 2, i % 4 % 2) for i in range(7)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    [got] = QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
+    at = lambda k: rows[int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:8], 16) % 7]
+    means = [sum(r[1] - r[2] for r in map(at, range(7 * k, 7 * k + 7))) for k in range(10_000)]
+    assert got.p == pytest.approx(min(1, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 10_000), abs=1e-9)
