@@ -7,6 +7,7 @@ import unicodedata
 from collections import Counter
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,25 @@ _PUNCTUATION = set(string.punctuation)
 
 
 def chrf_counts(hyp: str, ref: str) -> list[int]:
+    """For each order the n-grams of both sides and the sum of the lesser counts of each: n-grams are numbers, sorted once a side."""
     h, r = "".join(hyp.split()), "".join(ref.split())
-    out = []
+    points = np.frombuffer((h + r).encode("utf-32-le", "surrogatepass"), "<u4")
+    letters, codes = np.unique(points, return_inverse=True)
+    bits, codes = max(len(letters) - 1, 1).bit_length(), codes.astype(np.int64)
+    a, b, out = codes[: len(h)], codes[len(h) :], []
+    wide = bits * ORDERS > 62  # over a thousand letters: pairs of an n-gram's number and a letter are numbered anew
+    x, y = a, b
     for n in range(1, ORDERS + 1):
-        a, b = Counter(h[i : i + n] for i in range(len(h) - n + 1)), Counter(r[i : i + n] for i in range(len(r) - n + 1))
-        out += [sum(a.values()), sum(b.values()), sum((a & b).values())]
+        if n > 1:
+            x, y = (v[:-1] << bits | c[n - 1 :] if len(v) else v for v, c in ((x, a), (y, b)))
+            if wide and len(x) + len(y):
+                both = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+                x, y = both[: len(x)], both[len(x) :]
+        (p, i), (q, j) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+        at = np.searchsorted(q, p)
+        at[at == len(q)] = 0
+        same = (q[at] == p if len(q) else np.zeros(len(p), bool))
+        out += [len(x), len(y), int(np.minimum(i[same], j[at[same]]).sum())]
     return out
 
 

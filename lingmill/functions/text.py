@@ -14,9 +14,11 @@ TERMINATORS = ".?!।。？！؟"
 BUCKET_MARKS = "।॥.!?？！。"
 #: Script name to code point range, in the order that breaks ties.
 RANGES = {
-    "devanagari": "ऀ-ॿ", "bengali": "ঀ-৿", "arabic": "؀-ۿ", "cyrillic": "Ѐ-ӿ",
-    "kana": "぀-ヿ", "hangul": "가-힯", "han": "一-鿿", "latin": "A-Za-zÀ-ɏ",
+    "devanagari": "ऀ-ॿ", "bengali": "ঀ-৿", "arabic": "؀-ۿݐ-ݿ", "cyrillic": "Ѐ-ӿ",
+    "kana": "぀-ヿ", "hangul": "가-힯", "han": "一-鿿㐀-䶿", "latin": "A-Za-zÀ-ɏ",
 }
+# Arabic, Devanagari, Bengali, Thai, Telugu, kana, Chinese characters, Hangul.
+NON_LATIN = r"\x{0600}-\x{06FF}\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0E00}-\x{0E7F}\x{0C00}-\x{0C7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}"
 QUOTES = [('"', '"'), ("«", "»"), ("“", "”"), ("„", "“"), ("„", "”"), ("‘", "’")]
 RUNAWAY = "(?:\nuser\n|\nassistant\n|<think>)"
 
@@ -116,9 +118,9 @@ def script_of(c: Column) -> Column:
 
 
 def non_latin_fraction(c: Column) -> Column:
-    """Share of letters in the ranges that aren't Latin; no letters: 0."""
+    """Share of letters in NON_LATIN; no letters: 0."""
     letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    other = count_in(F.regexp_replace(c, r"\P{L}", ""), "".join(r for k, r in RANGES.items() if k != "latin"))
+    other = count_in(F.regexp_replace(c, r"\P{L}", ""), NON_LATIN)
     return F.when(letters == 0, 0.0).otherwise(other / letters)
 
 
@@ -131,8 +133,18 @@ def length_mismatch(gold: Column, pred: Column) -> Column:
 
 
 def has_token(c: Column, pattern: str) -> Column:
-    """A whole token: behind a start, comma, white space or danda; before a mark or white space."""
-    return F.concat(F.lit(" "), c, F.lit(" ")).rlike(f"(?:^|[,\\s।])(?:{pattern})(?=[\\s,.।!?])")
+    """A whole token: between starts, ends, commas, white space or dandas."""
+    return F.concat(F.lit(" "), c, F.lit(" ")).rlike(f"(?U)(?:^|[,\\s।])(?:{pattern})(?=[\\s,।]|$)")
+
+
+# Pairs of words with one function in Bhojpuri and Hindi.
+CONTRASTS = [
+    ("'and'", "आ", "और"),
+    ("'for'", "खातिर", "के लिए"),
+    ("copula", "बा|बाड़|होखल|होला", "है|हैं"),
+    ("oblique", "के", "की|को"),
+    ("infinitive", "करे|करल", "करना|करता"),
+]
 
 
 def lean(c: Column, pairs: list[tuple[str, str, str]], a: str = "a", b: str = "b") -> Column:

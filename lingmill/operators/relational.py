@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.hashing import digest
+from .shared import shared_root
+
+#: A weight is the number of these that 16 hashed bits reach: weights then follow Poisson's law with mean 1.
+POISSON = [round(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+DRAWS_A_DIGEST = 8
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -130,11 +139,7 @@ def determined(df: DataFrame, by: list[str], c: str) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) of links(a, b): roots are the least nodes. Labels halve their way by pointer jumping; each round is checkpointed."""
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lingmill-"))
+    shared_root(links.sparkSession)
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")).checkpoint()
     for _ in range(rounds):
@@ -148,16 +153,23 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components aren't settled after {rounds} rounds")
 
 
-def bootstrap(df: DataFrame, key: str, a: str, b: str, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Paired bootstrap of mean(a) - mean(b): delta, 95 % interval, two-sided p, verdict.
+def bootstrap(df: DataFrame, key: str, a: str, b: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Paired bootstrap of mean(a) - mean(b): delta, 95 % interval, two-sided p, verdict. Rows without a or b are left out.
 
-    Poisson-free resampling by hash: each draw takes as many rows as there are, each slot a hashed row; sums per draw
-    come from one shuffle with partial aggregation, and only `draws` rows meet at the end.
+    A draw gives every row a weight by the hash of its key and the draw, by Poisson's law with mean 1, the form of
+    resampling that needs no count of rows and no row numbers. Sums by draw are made where the rows are; only
+    three numbers a draw are shuffled.
     """
-    n = df.count()
-    rows = df.select((F.row_number().over(W.orderBy(key)) - 1).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"))
-    slots = df.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.conv(F.substring(digest("id", seed=seed), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("i"))
-    means = slots.join(rows, "i").groupBy("draw").agg((F.avg("a") - F.avg("b")).alias("d"))
+    rows = df.select(F.col(key).alias("k"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 8))  # few bytes a row, but work for thousands
+    blocks = -(-draws // DRAWS_A_DIGEST)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("h", digest("k", "block", seed=seed))
+    parts = range(DRAWS_A_DIGEST)
+    bits = [F.conv(F.substring("h", 4 * i + 1, 4), 16, 10).cast("int") for i in parts]
+    rows = rows.select("a", "b", "block", *(reduce(add, ((u >= t).cast("int") for t in POISSON)).alias(f"w{i}") for i, u in enumerate(bits)))
+    sums = rows.groupBy("block").agg(*(F.sum(F.col(f"w{i}") * c).alias(f"s{n}{i}") for i in parts for n, c in (("n", F.lit(1)), ("a", F.col("a")), ("b", F.col("b")))))
+    means = sums.select(F.explode(F.array(*(F.struct((F.col("block") * DRAWS_A_DIGEST + i).alias("draw"), ((F.col(f"sa{i}") - F.col(f"sb{i}")) / F.nullif(F.col(f"sn{i}"), F.lit(0))).alias("d")) for i in parts))).alias("x"))
+    means = means.select("x.d").where((F.col("x.draw") < draws) & F.col("x.d").isNotNull())
     out = means.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("int")), F.avg((F.col("d") >= 0).cast("int")))).alias("p"))
-    delta = df.agg((F.avg(a) - F.avg(b)).alias("delta")).first()["delta"]
-    return out.select(F.lit(delta).alias("delta"), "low", "high", "p", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("no difference").alias("verdict"))
+    delta = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg((F.avg(a) - F.avg(b)).alias("delta"))
+    return delta.crossJoin(out).select("delta", "low", "high", "p", F.when(F.col("low") > 0, "better").when(F.col("high") < 0, "worse").otherwise("no difference").alias("verdict"))  # one row each

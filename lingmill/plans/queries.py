@@ -207,20 +207,20 @@ def _fewshot_sql(k: int = 3) -> str:
         part = f"PARTITION BY {', '.join(t)} " if t else ""
         on = " AND ".join(f"r.{c} = h.{c}" for c in t) or "true"
         parts.append(f"SELECT r.doc_id, {n} AS tier, array_to_string(list(h.text ORDER BY h.rn)[1:{k}], '|') AS shots FROM r JOIN (SELECT *, row_number() OVER ({part}ORDER BY {_digest('text')}, text) AS rn FROM (SELECT DISTINCT {cols}text FROM p) QUALIFY rn <= {k + 1}) h ON {on} AND h.text <> r.text GROUP BY r.doc_id HAVING count(*) >= {k}")
-    return f"WITH p AS (SELECT source, lang, left(text, 80) AS text FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id, source, lang, left(text, 80) AS text FROM documents), u AS ({' UNION ALL '.join(parts)}) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier) = 1"
+    return f"WITH p AS (SELECT source, lang, text FROM documents), r AS (SELECT doc_id, source, lang, text FROM documents), u AS ({' UNION ALL '.join(parts)}) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier) = 1"
 
 
 @query(_fewshot_sql())
 def fewshot_tiers(spark, d):
-    rows = docs(spark, d).select("doc_id", "source", "lang", F.left("text", F.lit(80)).alias("text"))
-    out = R.few_shot(rows, rows.where("doc_id % 3 = 0"), "doc_id", _TIERS, 3, "text")
+    rows = docs(spark, d).select("doc_id", "source", "lang", "text")
+    out = R.few_shot(rows, rows, "doc_id", _TIERS, 3, "text")
     return out.select("doc_id", "tier", F.array_join("shots", "|").alias("shots"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || source AS a, 't' || md5(text) AS b FROM documents WHERE doc_id % 2 = 0), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || source AS a, 't' || md5(text) AS b FROM documents), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 w AS (SELECT a AS node, a AS root FROM n UNION SELECT w.node, n.b FROM w JOIN n ON w.root = n.a) SELECT node, min(root) AS root FROM w GROUP BY node""")
 def connected_components(spark, d):
-    rows = docs(spark, d).where("doc_id % 2 = 0")
+    rows = docs(spark, d)
     return R.components(rows.select(F.concat(F.lit("s"), "source").alias("a"), F.concat(F.lit("t"), F.md5(F.col("text").cast("binary"))).alias("b")))
 
 
@@ -316,9 +316,9 @@ def first_per_source(spark, d):
     return R.keep_first(rows, ["source"], F.col("doc_id"))
 
 
-@query("SELECT h, doc_id, n_chars FROM (SELECT left(md5(left(text, 40)), 6) AS h, doc_id, n_chars, row_number() OVER (PARTITION BY left(md5(left(text, 40)), 6) ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1")
+@query("SELECT h, doc_id, n_chars FROM (SELECT md5(text) AS h, doc_id, n_chars, row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1")
 def argmin_per_target(spark, d):
-    rows = docs(spark, d).select(F.left(F.md5(F.left("text", F.lit(40)).cast("binary")), F.lit(6)).alias("h"), "doc_id", "n_chars")
+    rows = docs(spark, d).select(F.md5(F.col("text").cast("binary")).alias("h"), "doc_id", "n_chars")
     return D.best_per_target(rows, "h", F.col("n_chars"), F.col("doc_id"))
 
 
@@ -344,7 +344,7 @@ def fd_check(spark, d):
 _LETTERS = r"length(regexp_replace(text, '\P{L}', '', 'g'))"
 
 
-@query(rf"SELECT doc_id, round(CASE WHEN {_LETTERS} = 0 THEN 1.0 ELSE length(regexp_replace(text, '\P{{Latin}}', '', 'g')) / {_LETTERS} END, 3) AS latin, round(CASE WHEN {_LETTERS} = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^ऀ-ॿঀ-৿؀-ۿЀ-ӿ぀-ヿ가-힯一-鿿]', '', 'g')) / {_LETTERS} END, 3) AS non_latin FROM documents")
+@query(rf"SELECT doc_id, round(CASE WHEN {_LETTERS} = 0 THEN 1.0 ELSE length(regexp_replace(text, '\P{{Latin}}', '', 'g')) / {_LETTERS} END, 3) AS latin, round(CASE WHEN {_LETTERS} = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0E00}}-\x{{0E7F}}\x{{0C00}}-\x{{0C7F}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}\x{{AC00}}-\x{{D7A3}}]', '', 'g')) / {_LETTERS} END, 3) AS non_latin FROM documents")
 def script_share(spark, d):
     return docs(spark, d).select("doc_id", F.round(X.script_fraction(F.col("text"), "Latin"), 3).alias("latin"), F.round(X.non_latin_fraction(F.col("text")), 3).alias("non_latin"))
 
@@ -421,7 +421,7 @@ def degenerate_repetition(spark, d):
 _PAIRS = [("copula", "ist", "the"), ("article", "der|die|das", "a|an")]
 
 
-@query(r"WITH t AS (SELECT doc_id, ' ' || text || ' ' AS t FROM documents), n AS (SELECT doc_id, regexp_matches(t, '(?:^|[,\s।])(?:ist)[\s,.।!?]')::INT + regexp_matches(t, '(?:^|[,\s।])(?:der|die|das)[\s,.।!?]')::INT AS a, regexp_matches(t, '(?:^|[,\s।])(?:the)[\s,.।!?]')::INT + regexp_matches(t, '(?:^|[,\s।])(?:a|an)[\s,.।!?]')::INT AS b FROM t) SELECT doc_id, CASE WHEN a > b THEN 'de' WHEN b > a THEN 'en' END AS lean FROM n")
+@query(r"WITH t AS (SELECT doc_id, ' ' || text || ' ' AS t FROM documents), n AS (SELECT doc_id, regexp_matches(t, '(?:^|[,\s।])(?:ist)(?:[\s,।]|$)')::INT + regexp_matches(t, '(?:^|[,\s।])(?:der|die|das)(?:[\s,।]|$)')::INT AS a, regexp_matches(t, '(?:^|[,\s।])(?:the)(?:[\s,।]|$)')::INT + regexp_matches(t, '(?:^|[,\s।])(?:a|an)(?:[\s,।]|$)')::INT AS b FROM t) SELECT doc_id, CASE WHEN a > b THEN 'de' WHEN b > a THEN 'en' END AS lean FROM n")
 def contrastive_lean(spark, d):
     return docs(spark, d).select("doc_id", X.lean(F.col("text"), _PAIRS, "de", "en").alias("lean"))
 
@@ -506,13 +506,13 @@ def lid_confusion(spark, d):
 
 # --- metrics
 
-_ANSWERS = "SELECT c.conv_id, c.turn, left(c.text, 200) AS gold, left(a.text, 200) AS pred FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 WHERE c.role = 'user' AND a.role = 'assistant'"
+_ANSWERS = "SELECT c.conv_id, c.turn, c.text AS gold, a.text AS pred FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 WHERE c.role = 'user' AND a.role = 'assistant'"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
-    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.left("text", F.lit(200)).alias("pred"))
-    return c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(200)).alias("gold")).join(a, ["conv_id", "turn"])
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
+    return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold")).join(a, ["conv_id", "turn"])
 
 
 def _chrf_sql() -> str:
@@ -563,10 +563,17 @@ def embedding_score(spark, d):
     return j.select("vec_id", F.round(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y)), 4).alias("cosine"))
 
 
-@query()
+_POISSON = " + ".join(f"(u >= {t})::INT" for t in R.POISSON)
+
+
+@query(f"""WITH r AS (SELECT doc_id, quality::DOUBLE AS a, toxic::DOUBLE AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+h AS (SELECT a, b, k, {_digest('doc_id', 'k')} AS h FROM (SELECT *, unnest(range(0, 1250)) AS k FROM r)), u AS (SELECT a, b, 8 * k + i AS draw, ('0x' || substr(h, 4 * i::INT + 1, 4))::INT AS u FROM (SELECT *, unnest(range(0, 8)) AS i FROM h)),
+w AS (SELECT draw, a, b, {_POISSON} AS w FROM u), m AS (SELECT (sum(w * a) - sum(w * b)) / nullif(sum(w), 0) AS d FROM w GROUP BY draw),
+q AS (SELECT quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, least(1.0::DOUBLE, 2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT))) AS p FROM m WHERE d IS NOT NULL)
+SELECT round((SELECT avg(a) - avg(b) FROM r), 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'no difference' END AS verdict FROM q""")
 def bootstrap_ci(spark, d):
     rows = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"))
-    return R.bootstrap(rows, "doc_id", "a", "b", draws=10_000)
+    return R.bootstrap(rows, "doc_id", "a", "b", draws=10_000).select(*(F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p")), "verdict")
 
 
 @query("SELECT count(*) AS n, round(100 * avg((quality = 0 AND toxic = 0)::INT), 4) AS false_refusal, round(100 * avg(quality) FILTER (toxic = 1), 4) AS refusal_hit FROM labels")
@@ -578,7 +585,7 @@ def refusal_rates(spark, d):
 # --- chat
 
 
-@query(_ANSWERS.replace("left(c.text, 200) AS gold, left(a.text, 200) AS pred", "c.text AS input, a.text AS output"))
+@query(_ANSWERS.replace("AS gold", "AS input").replace("AS pred", "AS output"))
 def sft_pairs(spark, d):
     c = table(spark, d, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
@@ -609,7 +616,7 @@ def label_mask(spark, d):
     return rows.select("conv_id", "turn", F.array_join("ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"), "truncated")
 
 
-@query("WITH t AS (SELECT conv_id, turn, least(length(text), 40) AS n FROM conversations), m AS (SELECT conv_id, max(n) AS most FROM t GROUP BY conv_id) SELECT conv_id, turn, most::INT AS padded, n::INT AS attended FROM t JOIN m USING (conv_id)")
+@query("WITH t AS (SELECT conv_id, turn, length(text) AS n FROM conversations), m AS (SELECT conv_id, max(n) AS most FROM t GROUP BY conv_id) SELECT conv_id, turn, most::INT AS padded, n::INT AS attended FROM t JOIN m USING (conv_id)")
 def pad_batch(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.array_repeat(F.lit(7), F.least(F.length("text"), F.lit(40))).alias("ids"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.array_repeat(F.lit(7), F.length("text")).alias("ids"))
     return chat.pad(rows, "conv_id", "ids", 0).select("conv_id", "turn", F.size("ids").alias("padded"), F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("attended"))

@@ -5,6 +5,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -85,6 +86,13 @@ def test_bootstrap_draws(spark, tmp_path):
     rows = [(i, i % 3 % 2, i % 4 % 2) for i in range(7)]
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     [got] = QUERIES["bootstrap_ci"](spark, str(tmp_path)).collect()
-    at = lambda k: rows[int(hashlib.md5(f"42:{k}".encode()).hexdigest()[:8], 16) % 7]
-    means = [sum(r[1] - r[2] for r in map(at, range(7 * k, 7 * k + 7))) for k in range(10_000)]
-    assert got.p == pytest.approx(min(1, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 10_000), abs=1e-9)
+    poisson = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 65536 for k in range(8)]
+
+    def mean(draw):
+        h = [hashlib.md5(f"42:{i}:{draw // 8}".encode()).hexdigest()[4 * (draw % 8) :][:4] for i, _, _ in rows]
+        w = [sum(int(x, 16) >= round(t) for t in poisson) for x in h]
+        return sum(x * (r[1] - r[2]) for x, r in zip(w, rows)) / sum(w) if sum(w) else None
+
+    means = [m for m in map(mean, range(10_000)) if m is not None]
+    assert got.p == pytest.approx(min(1, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / len(means)), abs=1e-6)
+    assert got.low == pytest.approx(np.quantile(means, 0.025), abs=1e-6) and got.high == pytest.approx(np.quantile(means, 0.975), abs=1e-6)
