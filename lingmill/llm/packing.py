@@ -81,8 +81,8 @@ def pack(pieces: DataFrame, size: int = 2048) -> DataFrame:
     puts each where the squared counts of open bins per gap become smallest. Nothing is shared between
     tasks, so the work grows in proportion to the pieces; repeated rows are packed like others.
     """
+    pieces = table(pieces, "pieces")  # in the small batches of cut()
     small_batches(pieces.sparkSession, 20_000)
-    pieces = table(pieces, "pieces")
     tasks = max(1, -(-pieces.count() // PIECES_A_TASK))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     arrow = arrow_schema(schema)

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lingmill.llm import html_crf, jpeg, language, lm, mixing, packing, quality, queries, simhash, suffixes, topk
+from lingmill.llm import html_crf, jpeg, language, lm, mixing, packing, quality, queries, simhash, subwords, suffixes, topk
 from lingmill.llm.common import hash_mod
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _key string, k string, fp long"
@@ -325,3 +326,44 @@ def test_op8_windows():
     for n in (1, 16, 17, 48, 49, 80, 81, 1000):
         at = {p: int(w) for w in reversed(lm.windows(n)) for p in range(w + lm.CONTEXT if w else 0, min(w + lm.WINDOW, n))}
         assert set(at) == set(range(n)) and all(w <= max(p - 16, 0) for p, w in at.items())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_merges_by_rank(name):
+    """What merges_by_rank rests on: ids follow the merges, and the merges of each token's own characters end in that token."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(name)
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, rank = model.get("end_of_word_suffix") or "", {tuple(x): i for i, x in enumerate(model["merges"])}
+    ids = [model["vocab"][a + b] for a, b in model["merges"]]
+    assert ids == sorted(set(ids))
+    for a, b in model["merges"]:
+        token = a + b
+        parts = list(token.removesuffix(suffix) if suffix else token)
+        if suffix and token.endswith(suffix):
+            parts[-1] += suffix
+        while len(parts) > 1:
+            i = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 60))
+            assert (parts[i], parts[i + 1]) in rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    kind = subwords.LOWER_WORDS if suffix else subwords.BYTE_LEVEL
+    rng = random.Random(10)
+    letters = [chr(i) for i in range(1, 0x24F) if chr(i) not in "\x1c\x1d\x1e\x1f"] + ["\u0301", "\u212a", "あ", "<|startoftext|>", "'s", *"etaoin"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(1500)] + [" ".join(t.split()) for t in map(str, [*texts_of_words()])]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = not suffix
+    found = subwords.Ids(path, kind)
+    if suffix:
+        assert [x.tolist() for x in found(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    else:
+        runs = sorted({r for t in texts for r in t.split()})
+        n, flat = found.of_words(runs)
+        want = [tokenizer.encode(" " + r, add_special_tokens=False).ids for r in runs]
+        assert n.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def texts_of_words():
+    rng = random.Random(11)
+    return (" ".join("".join(rng.choice("abcdefghijklmnop'.,-0é") for _ in range(rng.randint(1, 14))) for _ in range(20)) for _ in range(200))
