@@ -322,10 +322,57 @@ def test_op8_counts_of_rare_words(spark, monkeypatch):
 
 
 def test_op8_windows():
-    """Every input is scored with its 16 inputs before it, or all there are."""
-    for n in (1, 16, 17, 48, 49, 80, 81, 1000):
-        at = {p: int(w) for w in reversed(lm.windows(n)) for p in range(w + lm.CONTEXT if w else 0, min(w + lm.WINDOW, n))}
-        assert set(at) == set(range(n)) and all(w <= max(p - 16, 0) for p, w in at.items())
+    """Every place is scored in one window, with the 16 places before it, or all there are."""
+    place = np.arange(1000)
+    start = lm.window_of(place)
+    assert (start <= np.maximum(place - lm.CONTEXT, 0)).all() and (place < start + lm.WINDOW).all() and (np.diff(start) >= 0).all()
+    assert set(start) == set(range(0, 1000 - lm.CONTEXT, lm.WINDOW - lm.CONTEXT))
+
+
+def test_op8_score_is_the_forward_pass(spark):
+    """Scores against a plain forward pass, a place at a time: attention over the ids before a word, then the mixture of what each topic gives its ids."""
+    docs, path = [t for t in texts() if len(t or "") < 3000], queries.tokenizer_path("byte_bpe_50k.json")
+    rows = documents(spark, docs).select("doc_id", "text", (F.col("doc_id") % 3 != 0).alias("learn"))
+    model, counts, n = lm.train(rows.where("learn"), path)
+    got = {r.doc_id: r.score for r in lm.score_rows(rows, model, counts, n, path).collect()}
+    by_word = {r.word: np.array([r[f"c{k}"] for k in range(lm.TOPICS)], float) for r in counts.collect()}
+    ids_of, p = subwords.Ids(path, subwords.BYTE_LEVEL), {k: v.astype(float) for k, v in model.gate.p.items()}
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+
+    def weights(before):
+        """Of the topics, from the ids' classes up to a place."""
+        at = len(before) - 1
+        start = 0 if at < 48 else (at - 16) // 32 * 32
+        e = p["emb"][before[start:]] + p["pos"][: at + 1 - start]
+        a = softmax((e[-1] @ p["q"]) @ (e @ p["k"]).T / 4)
+        return softmax(4 * (a @ (e @ p["v"])) @ p["out"] + p["b"])
+
+    def chances(word, ids):
+        """Logarithms for a word's ids by each topic: by its count, or else id by id."""
+        c = by_word.get(word, np.zeros(lm.TOPICS))
+        share = (c + 2 * c.sum() / model.total) / (model.totals + 2) * np.exp(model.counted)
+        k, before = model.class_of[ids], np.append(lm.CLASSES, model.class_of[ids][:-1])
+        with np.errstate(divide="ignore"):
+            share = np.log(share)
+        return share if word == lm.END_WORD else np.logaddexp(share, model.spare + (model.pairs.astype(float)[before * lm.CLASSES + k] + model.log_rest[ids][:, None]).sum(0))
+
+    for i, t in enumerate(docs):
+        before, total = [lm.CLASSES], 0.0
+        for w in lm.text_words([(t or "").encode()])[0]:
+            ids = ids_of.of_words([w])[1]
+            total += np.logaddexp.reduce(np.log(weights(before)) + chances(w, ids)) / np.log(10)
+            before += model.class_of[ids].tolist()
+        total += np.logaddexp.reduce(np.log(weights(before)) + chances(lm.END_WORD, None)) / np.log(10)
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3), i
+
+
+def test_op8_next_ids_are_a_distribution(spark):
+    """What a topic gives the next id, whatever stands before it in the word, adds up to one."""
+    rows = documents(spark, texts()).select("doc_id", "text", F.lit(True).alias("learn"))
+    model, _, _ = lm.train(rows, queries.tokenizer_path("byte_bpe_50k.json"))
+    table = np.exp(model.pairs.astype(float)).reshape(lm.CLASSES + 1, lm.CLASSES, lm.TOPICS)
+    assert np.allclose(table.sum(1), 1, atol=1e-3)
+    assert np.exp(model.log_rest.astype(float))[model.class_of == lm.CLASSES - 1].sum() == pytest.approx(1, abs=1e-3)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
