@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.shared import shared_root
+
 #: White space that ends a word in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
 #: bytes.translate table that lower-cases A-Z alone.
@@ -24,12 +25,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="lingmill-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/lingmill-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share (see shared_root)."""
+    return f"{shared_root(spark)}/lingmill-{uuid.uuid4().hex}"
 
 
 def table(df: DataFrame, name: str = "t") -> DataFrame:

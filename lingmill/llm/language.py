@@ -32,7 +32,7 @@ def letters(text: str) -> np.ndarray:
 
 
 def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the bucket of the n-gram that starts at each place; starts and ends of the texts' places."""
+    """For each order the bucket of the n-gram that starts at each place; starts of the texts' places; whether a letter stands at each."""
     pad = " " * max(ORDERS)
     cp = letters("".join(f" {t}{pad}" for t in texts))
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -44,7 +44,7 @@ def ngrams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         h = (h + nxt + np.uint32(n)) * np.uint32(0x9E3779B1)
         if n in ORDERS:
             out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS))
-    return out, starts, starts + lengths + 1
+    return out, starts, cp != 32
 
 
 def _split(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
@@ -59,11 +59,11 @@ def _split(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
 
 
 def features(texts: list[str]):
-    """Yield (buckets by order, starts, ends, owners) for runs of texts of bounded length."""
+    """Yield (buckets by order, starts, ends, owners, letters) for runs of texts of bounded length."""
     parts, owner, counted = _split(texts)
     for a, b in pieces(parts, CHUNK):
-        grams, starts, _ = ngrams(parts[a:b])
-        yield grams, starts, starts + np.array(counted[a:b]), np.array(owner[a:b])
+        grams, starts, is_letter = ngrams(parts[a:b])
+        yield grams, starts, starts + np.array(counted[a:b]), np.array(owner[a:b]), is_letter
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -84,7 +84,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
                 s = sums.setdefault(k, np.zeros((1 << BITS) + 1, np.int64))
                 own = [t for t, x in zip(texts, langs) if x == k]
                 s[-1] += len(own)
-                for grams, starts, ends, _ in features(own):
+                for grams, starts, ends, _, _ in features(own):
                     inside = np.zeros(len(grams[0]) + 1, np.int8)
                     inside[starts] += 1
                     inside[ends] -= 1
@@ -110,16 +110,13 @@ def score(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[
     total = np.zeros((len(texts), len(langs)))
     letter = np.zeros(len(texts), bool)
     total[:] = logp[-1]
-    space = ngrams([" "])[0][0][0]
-    for grams, starts, ends, owner in features(texts):
+    for grams, starts, ends, owner, is_letter in features(texts):
         edges = np.stack([starts, ends], 1).ravel()
-        for n, g in enumerate(grams):
+        np.logical_or.at(letter, owner, np.logical_or.reduceat(np.append(is_letter, False), edges)[::2])
+        for g in grams:
             part = np.zeros((len(g) + 1, len(langs)), np.float32)
             np.take(logp, g, axis=0, out=part[:-1])
             np.add.at(total, owner, np.add.reduceat(part, edges, axis=0)[::2])
-            if n == 0:
-                is_letter = np.append(g != space, False)
-                np.logical_or.at(letter, owner, np.logical_or.reduceat(is_letter, edges)[::2])
     if not langs:
         return ["und"] * len(texts), np.zeros(len(texts))
     p = np.exp(total - total.max(1, keepdims=True))

@@ -28,6 +28,7 @@ from .common import arrow_schema, small_batches, table, to_batch, utf8
 
 LENGTH, SYMBOL = 200, 40
 K = 32  # bytes of a winnowing gram
+SEEN = 200_000  # segments that a task knows it has sent
 CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 1 << 20, 1 << 18
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
 
@@ -226,6 +227,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     s = xxhash.xxh3_64_intdigest(part) - (1 << 63)
                     new = (r["v"], s) not in seen
                     if new:
+                        if len(seen) >= SEEN:  # a text may be sent again; the task that gets it keeps one
+                            seen.clear()
                         seen.add((r["v"], s))
                     for c, x in zip(cut_arrow.names, (key, r["a"], r["n"], r["v"], s, copies, part if new else None)):
                         out[c].append(x)

@@ -17,7 +17,7 @@ BUCKET, QUERIES_AT_ONCE, SEEDS, FOCUS = 2048, 16_384, 4096, 4
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>, norm2 long) of the usable vectors: floor(scale * x); null, null or non-finite components, and empty ones drop out."""
+    """(vec_id, v array<long>, norm2 long) of the usable vectors: floor(scale * x); null, null or non-finite components drop out."""
     x = F.col("embedding")
     usable = x.isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
@@ -99,7 +99,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every` the k highest integer products with other rows.
 
     Ties go to the smaller vec_id; fewer than k others give fewer rows. Unusable vectors (see quantised) take no
-    part; all vectors must have one dimension, others than the commonest are left out. Rows that repeat a vec_id
+    part; shorter vectors are filled up with zeros. Rows that repeat a vec_id
     are one query each and candidates to others, never to their own id; repeated rows give repeated results.
 
     Candidates are range-partitioned by falling length (vec_id splits equal ones) and read in buckets. Queries
@@ -109,10 +109,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     spark = vectors.sparkSession
     small_batches(spark, BUCKET)
     usable = table(quantised(vectors, scale), "vectors")
-    sizes = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None or not sizes.n:
+    sizes = usable.agg(F.max(F.size("v")).alias("n"), F.count(F.lit(1)).alias("count")).first()
+    if sizes.n is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = usable.where(F.size("v") == sizes.n)
+    rows = usable.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(max(sizes.n, 1)) - F.size("v"))))
     parts = max(1, -(-sizes["count"] // (8 * BUCKET)))
     sorted_rows = table(rows.repartitionByRange(parts, F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id"), "buckets")
     seeds = sorted_rows.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).toArrow()

@@ -107,6 +107,8 @@ def test_op3(spark):
     assert [pred[i].lang_pred for i in (500, 501, 502)] == ["und"] * 3
     empty = docs.limit(0)
     assert language.identify(docs, *language.train(empty)).where("lang_pred = 'und' AND score = 0").count() == len(rows)
+    marks = [chr(c) for c in range(0x100, 0x3000, 7) if chr(c).isalpha()]  # every letter is one, whatever its bucket
+    assert "und" not in language.score(marks, *model)[0] and language.score(["1", "\u0660", "\u3002", " \n", None], *model)[0] == ["und"] * 5
     long = "der und ist " * 100_000
     assert language.score([long, "the"], *model)[0] == ["de", "en"]
 
@@ -127,7 +129,7 @@ def test_op4(spark):
 def test_op5(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, [float(v) for v in rng.standard_normal(8) * (1 + i % 5)]) for i in range(400)]
-    rows += [(401, None), (450, [1.0, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [0.0] * 8), (402, rows[3][1]), (403, rows[3][1])]
+    rows += [(401, None), (450, [1.0, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [0.0] * 8), (402, rows[3][1]), (403, rows[3][1]), (600, [2.0, -1.0, 3.0]), (601, []), (602, [1.0] * 11), (650, [0.5] * 9), (700, [])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     folder = save(vectors, tmp_path, "embeddings")
     got = sorted(map(tuple, queries.op5_top_k(spark, folder).collect()))
@@ -138,6 +140,24 @@ def test_op5(spark, tmp_path):
     assert topk.top_k(vectors.where("vec_id = 50")).count() == 0
 
 
+def test_op3_by_brute_force(spark):
+    """Posterior of each text from counts of its lower-cased letters' n-grams, with no hashing: the buckets here don't collide enough to matter."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(("alba mons", "terra nova")[i % 2].split() + ["ex"]) for _ in range(rng.randint(1, 5))), ("x", "y")[i % 2]) for i in range(60)]
+
+    def grams(text):
+        t = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + "   "
+        return Counter(t[i : i + n] for n in (1, 2, 3) for i in range(len(text) + 1))
+
+    counts = {k: sum((grams(t) for _, t, x in rows if x == k), Counter()) for k in "xy"}
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["alba ex", "nova", "Ex ex", "mons, nova!", "q"]
+    for text, lang, p in zip(asked, *language.score(asked, *model)):
+        logs = {k: np.log(31 / 62) + sum(n * np.log((c[g] + 0.5) / (c.total() + 0.5 * 2**16)) for g, n in grams(text).items()) for k, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert lang == best and p == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()), abs=1e-3), text
+
+
 def test_op6(spark):
     rng = random.Random(4)
     good = lambda: ". ".join(" ".join(rng.choice(["market", "river", "people", "house", "walked", "under", "bright"]) for _ in range(9)).capitalize() for _ in range(8))
