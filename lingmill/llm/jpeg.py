@@ -3,9 +3,10 @@
 `decode` reads any 8-bit progressive (or baseline) Huffman JPEG: it accumulates the spectral-selection and
 successive-approximation scans into one coefficient array a component, inverse-transforms, upsamples chroma by
 repetition and gives an RGB tensor of full resolution. `encode_payload` stores bytes losslessly as quantised
-coefficients of the luma component (quantiser 1): the DC coefficient holds a byte by bit planes, each AC
-coefficient holds 256 + byte. Every symbol of these scans has the same length, so files made here are parsed a
-scan at a time; other files go through the bit-serial Huffman decoder.
+coefficients (quantiser 1) of a colour picture, two thirds in its luma and a sixth in each chroma component of half
+the resolution: the DC coefficient holds a byte by bit planes, each AC coefficient holds 256 + byte. Every symbol of
+these scans has the same length, so files made here are parsed a scan at a time; other files go through the
+bit-serial Huffman decoder.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, small_batches, utf8
 
-UNIT, WIDE = 576, 24  # a unit of payload is 3 x 3 blocks of 8 x 8
+UNIT, WIDE = 576, 16  # a unit of payload is nine blocks of 64 bytes; a picture is a column of 16 x 16 pixels, each four blocks of luma and one of each chroma
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 _k = np.arange(8)
 IDCT = (np.where(_k == 0, np.sqrt(0.5), 1.0)[:, None] * np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16) / 2).astype(np.float32)
-MOST_UNITS = 65_528 // WIDE  # a JPEG has at most 65,535 rows; longer payloads become several frames in a row
+MOST_UNITS = 65_520 // WIDE * 6 // 9  # a JPEG has at most 65,535 rows; longer payloads become several frames in a row
 AC_LOW = 4  # the first AC scan has the bits from here on; one refinement scan for each bit below
 
 
@@ -46,33 +47,35 @@ def _scan(components: list[tuple[int, int, int]], ss: int, se: int, ah: int, al:
 
 
 def _frame(payload: np.ndarray) -> bytes:
-    units = len(payload) // UNIT
-    blocks, high, chroma = 9 * units, WIDE * units, 2 * (12 * units + 7) // 16 * 2
-    chroma = -(-12 // 8) * -(-12 * units // 8)
-    out = [b"\xff\xd8", _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, struct.pack(">BHHB", 8, high, WIDE, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))]
+    mcus = -(-len(payload) // (6 * 64))
+    out = [b"\xff\xd8", _segment(0xDB, bytes([0, *[1] * 64])), _segment(0xC2, struct.pack(">BHHB", 8, WIDE * mcus, WIDE, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))]
     # one-bit codes: DC category 0; AC run 0 with category 8 - AC_LOW + 1; AC end-of-band runs
     out.append(_huffman(0, 0, {1: [0]}) + _huffman(1, 0, {1: [9 - AC_LOW]}))
-    coefficients = payload.reshape(blocks, 64)
-    dc, ac = coefficients[:, 0], coefficients[:, 1:]
-    for c, n in ((1, blocks), (2, chroma), (3, chroma)):
-        out.append(_scan([(c, 0, 0)], 0, 0, 0, 8, np.zeros(n, np.uint8)))
+    blocks = np.zeros((6 * mcus, 64), np.uint8)  # luma, then each chroma; the last ones may be spare
+    blocks.ravel()[: len(payload)] = payload
+    both, edges = [(1, 0, 0), (2, 0, 0), (3, 0, 0)], (0, 4 * mcus, 5 * mcus, 6 * mcus)
+    out.append(_scan(both, 0, 0, 0, 8, np.zeros(6 * mcus, np.uint8)))
+    dc = np.concatenate([blocks[: 4 * mcus, 0].reshape(mcus, 4), blocks[4 * mcus : 5 * mcus, :1], blocks[5 * mcus :, :1]], 1).ravel()
     for bit in range(7, -1, -1):
-        out.append(_scan([(1, 0, 0)], 0, 0, bit + 1, bit, dc >> np.uint8(bit) & np.uint8(1)))
+        out.append(_scan(both, 0, 0, bit + 1, bit, dc >> np.uint8(bit) & np.uint8(1)))
     width = 9 - AC_LOW
-    first = np.zeros((blocks, 63, 1 + width), np.uint8)
+    first = np.zeros((6 * mcus, 63, 1 + width), np.uint8)
     first[:, :, 1] = 1  # the bit of 256
     for i in range(width - 1):
-        first[:, :, 2 + i] = ac >> np.uint8(7 - i) & np.uint8(1)
-    out.append(_scan([(1, 0, 0)], 1, 63, 0, AC_LOW, first.ravel()))
-    runs = end_runs(blocks)
-    out.append(_huffman(1, 1, {4: sorted({r << 4 for r, _, _ in runs})}))
-    for bit in range(AC_LOW - 1, -1, -1):
-        plane, parts, at = ac >> np.uint8(bit) & np.uint8(1), [], 0
-        codes = {s: i for i, s in enumerate(sorted({r << 4 for r, _, _ in runs}))}
-        for r, extra, n in runs:
-            parts += [_bits(codes[r << 4], 4), _bits(extra, r), plane[at : at + n].ravel()]
-            at += n
-        out.append(_scan([(1, 0, 1)], 1, 63, bit + 1, bit, np.concatenate(parts)))
+        first[:, :, 2 + i] = blocks[:, 1:] >> np.uint8(7 - i) & np.uint8(1)
+    planes = [blocks[:, 1:] >> np.uint8(bit) & np.uint8(1) for bit in range(AC_LOW - 1, -1, -1)]
+    runs = [end_runs(b - a) for a, b in zip(edges, edges[1:])]
+    codes = {r << 4: i for i, r in enumerate(sorted({r for x in runs for r, _, _ in x}))}
+    out.append(_huffman(1, 1, {4: list(codes)}))
+    for c, own in enumerate(runs):
+        begin, end = edges[c], edges[c + 1]
+        out.append(_scan([(c + 1, 0, 0)], 1, 63, 0, AC_LOW, first[begin:end].ravel()))
+        for bit, plane in zip(range(AC_LOW - 1, -1, -1), planes):
+            parts, at = [], begin
+            for r, extra, n in own:
+                parts += [_bits(codes[r << 4], 4), _bits(extra, r), plane[at : at + n].ravel()]
+                at += n
+            out.append(_scan([(c + 1, 0, 1)], 1, 63, bit + 1, bit, np.concatenate(parts)))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -200,7 +203,7 @@ def coefficients(data: bytes) -> tuple[int, int, list[Component], dict[int, np.n
             ah, al = a >> 4, a & 15
             if not progressive:
                 ss, se, ah, al = 0, 63, 0, 0
-            if restart or not (progressive and n == 1 and _whole(own[0], ss, se, ah, al, coded)):
+            if restart or not progressive or not (_whole(own[0], ss, se, ah, al, coded) if n == 1 else _whole_column(own, ss, ah, al, coded)):
                 _serial(own, ss, se, ah, al, coded, restart, progressive)
     return high, wide, parts, quant
 
@@ -257,6 +260,24 @@ def _whole(own, ss: int, se: int, ah: int, al: int, coded: bytes) -> bool:
     return True
 
 
+def _whole_column(own, ss: int, ah: int, al: int, coded: bytes) -> bool:
+    """As _whole, for a scan of DC bits of several components in a picture one unit wide, where each component's blocks stand in its coefficient array as they come."""
+    if ss or any(p.all_wide != p.h for p, _, _ in own):
+        return False
+    each = [p.h * p.v for p, _, _ in own]
+    mcus, k = own[0][0].all_high // own[0][0].v, sum(each)
+    bits = np.unpackbits(np.frombuffer(coded.replace(b"\xff\x00", b"\xff"), np.uint8))[: mcus * k]
+    if len(bits) < mcus * k:
+        return False
+    if not ah:  # one symbol of one bit: every difference has category 0
+        return all(dc is not None and dc.symbols == [0] and dc.fixed == 1 for _, dc, _ in own) and not bits.any()
+    bits, at = bits.reshape(mcus, k).astype(np.int32) << al, 0
+    for (p, _, _), n in zip(own, each):
+        p.coefficients[:, 0] |= bits[:, at : at + n].ravel()
+        at += n
+    return True
+
+
 def _serial(own, ss: int, se: int, ah: int, al: int, coded: bytes, restart: int, progressive: bool) -> None:
     """The general decoder, a bit at a time."""
     if len(own) == 1:
@@ -388,9 +409,8 @@ def read_payload(media: bytes) -> tuple[bytes, list[np.ndarray]]:
     payload, tensors = [], []
     for f in frames(media):
         high, wide, parts, quant = coefficients(f)
-        luma = parts[0]
-        c = luma.coefficients[_grid(luma)] if luma.wide != luma.all_wide else luma.coefficients[: luma.wide * luma.high]
-        payload.append((c & 255).astype(np.uint8).tobytes())
+        blocks = np.concatenate([p.coefficients for p in parts])
+        payload.append((blocks & 255).astype(np.uint8).tobytes()[: blocks.size // UNIT * UNIT])
         tensors.append(rgb(high, wide, parts, quant))
     return b"".join(payload), tensors
 
@@ -418,6 +438,13 @@ def decode_column(df: DataFrame, key: str, media: str) -> DataFrame:
     return map_arrow(base, each, f"`{key}` {base.schema[0].dataType.simpleString()}, height int, width int, rgb binary, error string")
 
 
+def store_tensors(df: DataFrame, key: str, media: str, path: str) -> DataFrame:
+    """decode_column's rows written as Parquet to a new folder and read again: (key, height, width, rgb binary, error)."""
+    out = decode_column(df, key, media)
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def pad(text: bytes) -> bytes:
     return text + b"\xff" * (-len(text) % UNIT if text else UNIT)
 

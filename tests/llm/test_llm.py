@@ -260,13 +260,31 @@ def test_op10(spark):
         assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"no jpeg")), (3, bytearray(jpeg.encode_payload(bytes(576))))], "doc_id long, media binary")
     rows = {r.doc_id: r for r in jpeg.decode_column(bad, "doc_id", "media").collect()}
-    assert rows[1].rgb is None and rows[2].rgb is None and (rows[3].height, rows[3].width, len(rows[3].rgb)) == (24, 24, 1728)
+    assert rows[1].rgb is None and rows[2].rgb is None and (rows[3].height, rows[3].width, len(rows[3].rgb)) == (32, 16, 1536)
+
+
+def test_op10_stored_tensors(spark, tmp_path):
+    """Tensors of stored files, against a plain inverse transform, upsampling and colour conversion of the payload's blocks."""
+    payload = np.random.default_rng(13).integers(0, 256, 576 * 2, np.uint8)
+    x = np.where(np.arange(64) > 0, 256, 0) + payload.reshape(-1, 64).astype(float)  # luma 12, chroma 3 and 3 blocks
+    table = np.zeros((len(x), 64))
+    table[:, jpeg.ZIGZAG] = x
+    basis = np.array([[(0.5**0.5 if u == 0 else 1) / 2 * np.cos((2 * i + 1) * u * np.pi / 16) for i in range(8)] for u in range(8)])
+    blocks = np.clip(np.rint(np.einsum("ui,nuv,vj->nij", basis, table.reshape(-1, 8, 8), basis) + 128), 0, 255)
+    luma = np.block([[blocks[2 * r], blocks[2 * r + 1]] for r in range(6)])
+    cb, cr = (np.vstack(list(blocks[a : a + 3])).repeat(2, 0).repeat(2, 1) - 128 for a in (12, 15))
+    want = np.clip(np.rint(np.stack([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], -1)), 0, 255)
+    files = spark.createDataFrame([(7, bytearray(jpeg.encode_payload(payload.tobytes())))], "doc_id long, media binary")
+    [row] = jpeg.store_tensors(files, "doc_id", "media", f"{tmp_path}/tensors").collect()
+    got = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
+    assert got.shape == want.shape and np.abs(got - want).max() <= 2 and (cb != cb[0, 0]).any()
 
 
 def test_op10_bit_serial_decoder_agrees(monkeypatch):
     payload = np.random.default_rng(7).integers(0, 256, 576 * 3, np.uint8).tobytes()
     fast = jpeg.decode(jpeg.encode_payload(payload))
     monkeypatch.setattr(jpeg, "_whole", lambda *a: False)
+    monkeypatch.setattr(jpeg, "_whole_column", lambda *a: False)
     assert (jpeg.decode(jpeg.encode_payload(payload)) == fast).all()
 
 
