@@ -15,13 +15,13 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def _large(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("lo").alias("node"), F.col("lo").alias("m")).union(edges.select("hi", "lo"))
-    least = ends.groupBy("node").agg(F.min("m").alias("m"))
-    return _clean(edges.join(least, F.col("lo") == F.col("node")).select("hi", F.col("m").alias("lo")))
+    least = table(ends.groupBy("node").agg(F.min("m").alias("m")), "least")  # alone, the join can split the links of one node
+    return _clean(edges.join(least.hint("merge"), F.col("lo") == F.col("node")).select("hi", F.col("m").alias("lo")))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"))
-    pulled = edges.join(least, F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    least = table(edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m")), "least")
+    pulled = edges.join(least.hint("merge"), F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return _clean(pulled.union(least.select(F.col("node").alias("hi"), F.col("m").alias("lo"))))
 
 
