@@ -140,9 +140,8 @@ def mine_boilerplate(spark, d):
     tail = F.concat(F.lit('One sentence. Else write "no answer". Answer in '), F.col("lang"), F.lit("."))
     question = F.concat(F.when(F.col("doc_id") % 2 == 0, "who").otherwise("why"), F.lit(" is it"), F.col("doc_id").cast("string"))
     prompt = X.wrap_context(F.lit("Here is a text:"), F.replace("text", F.lit(X.SEP), F.lit(" ")), F.lit("Asked: "), question, tail)
-    first = F.min("doc_id").over(W.partitionBy("lang"))  # so that each language has both questions
-    rows = docs(spark, d).select("doc_id", "lang", "text", first.alias("f")).select("lang", prompt.alias("prompt"))
-    rows = rows.unionByName(rows.withColumn("prompt", F.regexp_replace("prompt", "Asked: (who|why)", "Asked: x")))
+    rows = docs(spark, d).select("lang", prompt.alias("prompt"))
+    rows = rows.unionByName(rows.withColumn("prompt", F.regexp_replace("prompt", "Asked: (who|why)", "Asked: x")))  # a third question, so each language has several
     tests = rows.select(F.col("lang").alias("question_lang"), "prompt", F.lit("qa-context").alias("task"))
     return D.mine_boilerplate(tests).select("lang", "lead", "intro", "one_sentence", "refusal", "answer_in", "phrase")
 
