@@ -9,6 +9,11 @@ dealing each shard number to its symbol's bucket. Where a boundary between neigh
 common prefix; blocks that are still undivided at LENGTH bytes are the repeated intervals. No suffix is sorted
 again.
 
+A key whose segments fill more than a shard is split first: the gram stands equally far behind the start of equal
+windows, so a run's windows are dealt by that distance, WIDTHS[0] distances together, and what all windows of such a part
+cover is hashed into the key of the part. Parts with a key of their own go; keys that are still too large are
+split by the next width. At width 1 a part is one window and its key names its text, so every key ends small.
+
 Symbols are SYMBOL bytes wide: a segment is read as SYMBOL interleaved strings, one for each residue, so the
 merge takes LENGTH / SYMBOL rounds. Symbols are exact ranks: 8 bytes are packed, wider ones are ranked in pairs.
 """
@@ -30,6 +35,7 @@ LENGTH, SYMBOL = 200, 40
 K = 32  # bytes of a winnowing gram
 SEEN = 200_000  # segments that a task knows it has sent
 CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 1 << 20, 1 << 18
+WIDTHS = 44, 11, 1  # distances of a gram from the start of its windows that a part of a run holds
 _B = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64)) for i in range(8)]
 
 
@@ -72,6 +78,23 @@ def runs(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(first), np.concatenate(count), np.concatenate(key)
 
 
+def parts(text: bytes, v: int, width: int, length: int = LENGTH) -> list[tuple[int, int, int, bytes]]:
+    """(first window, number of windows, key, text) of each part of a run with key v, of windows whose gram stands `width` near distances behind their start.
+
+    Equal windows have equal keys and distances, so their parts have equal keys too.
+    """
+    gram = int(np.argmin(gram_hashes(np.frombuffer(text, np.uint8)[:length], K) >> np.uint64(PLACE)))
+    n, out = len(text) - length + 1, []
+    for low in range(0, length - K + 1, width):
+        high = min(low + width, length - K + 1)
+        a, z = max(gram - high + 1, 0), min(gram - low + 1, n)
+        if a < z:
+            shared = text[gram - low : gram - high + 1 + length]
+            key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (v, low, high) + shared) - (1 << 63)
+            out.append((a, z - a, key, text[a : z + length - 1]))
+    return out
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     """Dense ranks from 1."""
     order = np.argsort(x)
@@ -214,7 +237,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = all_runs.join(often, F.col("v") == F.col("w")).select("key", F.struct("a", "n", "v").alias("run"))
     kept = kept.groupBy("key").agg(F.collect_set("run").alias("runs"))
 
-    cut_schema = "key long, a int, n int, v long, s long, c int, text binary"
+    cut_schema = "key long, a int, n int, v long, s long, c int, sent int, text binary"
     cut_arrow = arrow_schema(cut_schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +253,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         if len(seen) >= SEEN:  # a text may be sent again; the task that gets it keeps one
                             seen.clear()
                         seen.add((r["v"], s))
-                    for c, x in zip(cut_arrow.names, (key, r["a"], r["n"], r["v"], s, copies, part if new else None)):
+                    for c, x in zip(cut_arrow.names, (key, r["a"], r["n"], r["v"], s, copies, len(part) if new else 0, part if new else None)):
                         out[c].append(x)
             yield to_batch(out, cut_arrow)
 
     texts = docs.select(F.col("key").alias("k"), "text", F.lit(1).alias("c"))
     held = table(kept.join(texts, F.col("key") == F.col("k")).select("key", "runs", "text", "c").mapInArrow(cut, cut_schema), "segments")
 
-    segments = held.where("text IS NOT NULL").select("v", "s", "text")
-    tasks = max(1, -(-(segments.agg(F.sum(F.length("text"))).first()[0] or 0) // TASK_BYTES))
+    segments, split = split_keys(held.where("sent > 0").select("v", "s", "sent", "text"), length)
+    tasks = max(1, -(-(segments.agg(F.sum("sent")).first()[0] or 0) // TASK_BYTES))
     found_schema = "v long, s long, first array<int>, last array<int>"
     found_arrow = arrow_schema(found_schema)
 
@@ -252,7 +275,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if found:
                 yield to_batch({"v": [k[0] for k, _, _ in found], "s": [k[1] for k, _, _ in found], "first": [x for _, x, _ in found], "last": [x for _, _, x in found]}, found_arrow)
 
-    partial = segments.repartition(tasks, "v").mapInArrow(search, found_schema)
+    partial = segments.select("v", "s", "text").repartition(tasks, "v").mapInArrow(search, found_schema)
+    if split:
+        partial = of_runs(table(partial, "partial"), split)
     # a segment that stands in several places: all its windows are repeated
     whole = held.groupBy("v", "s").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where("c > 1").select("v", "s", F.array(F.lit(0)).alias("first"), F.array(F.col("n") - 1).alias("last"))
     hits = table(partial.join(whole, ["v", "s"], "left_anti").union(whole).select(F.col("v").alias("hv"), F.col("s").alias("hs"), "first", "last"), "hits")
@@ -261,6 +286,48 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return placed.select("key", *moved).groupBy("key").agg(F.flatten(F.collect_list("first")).alias("first"), F.flatten(F.collect_list("last")).alias("last"))
 
 
+def split_keys(segments: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
+    """segments(v, s, sent, text) in which no key has more than SHARD_BYTES of different texts, and for each width used the parts(v, s, a, n, pv, ps) of runs and parts.
+
+    Rows that repeat (v, s) may stay. Only the segments of large keys are read, cut and dealt anew.
+    """
+    schema = "v long, s long, a int, n int, pv long, ps long, text binary"
+    arrow = arrow_schema(schema)
+    small, levels = [], []
+    for width in WIDTHS:
+        large = table(segments.groupBy(F.col("v").alias("w")).agg(F.sum("sent").alias("b")).where(F.col("b") > SHARD_BYTES).select("w"), "large")
+        if large.isEmpty():
+            break
+
+        def cut(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(v, s, *x) for v, s, t in zip(*(b.column(i).to_pylist() for i in range(3))) for x in parts(t, v, width, length)]
+                out = dict(zip(("v", "s", "a", "n", "pv", "text"), zip(*rows))) if rows else dict.fromkeys(arrow.names, ())
+                out["ps"] = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in out["text"]]
+                yield to_batch(out, arrow)
+
+        here = F.col("v") == F.col("w")
+        small.append(segments.join(large, here, "left_anti"))
+        level = table(segments.join(large, here, "left_semi").select("v", "s", "text").dropDuplicates(["v", "s"]).mapInArrow(cut, schema), "parts")
+        levels.append(level.drop("text"))
+        shared = table(level.groupBy(F.col("pv").alias("w")).agg(F.min("ps").alias("x"), F.max("ps").alias("y")).where("x != y").select("w"), "shared")
+        texts = level.select(F.col("pv").alias("v"), F.col("ps").alias("s"), F.length("text").alias("sent"), "text")
+        segments = table(texts.join(shared, here, "left_semi").dropDuplicates(["v", "s"]), "split")
+    for more in small:
+        segments = segments.union(more)
+    return segments, levels
+
+
+def of_runs(found: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """found(v, s, first, last) in parts of runs, and what is repeated as a whole part, as places of the runs (see split_keys)."""
+    for level in reversed(levels):
+        whole = level.groupBy("pv", "ps").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where("c > 1").select(F.col("pv").alias("v"), F.col("ps").alias("s"), F.array(F.lit(0)).alias("first"), F.array(F.col("n") - 1).alias("last"))
+        inside = found.union(whole).select(F.col("v").alias("fv"), F.col("s").alias("fs"), "first", "last")
+        moved = [F.transform(c, lambda x: x + F.col("a")).alias(c) for c in ("first", "last")]
+        found = found.union(level.join(inside, (F.col("pv") == F.col("fv")) & (F.col("ps") == F.col("fs"))).select("v", "s", *moved))
+    return found
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """A key for each distinct (doc_id, text)."""
     return docs.withColumn("_key", F.xxhash64("doc_id", "text"))

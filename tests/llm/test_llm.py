@@ -40,8 +40,23 @@ def save(df, path, name):
     return str(path)
 
 
-def test_op1(spark):
-    docs = texts()
+def passages_in_contexts():
+    """Passages of 60 to 260 bytes, each in many contexts, some of which it shares in part with others."""
+    rng = random.Random(4)
+    line = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    out = []
+    for size in (60, 150, 199, 200, 260):
+        passage, near = line(size), [line(60) for _ in range(3)]
+        out += [line(rng.randint(0, 200)) + rng.choice(near)[rng.randint(0, 60) :] + passage + rng.choice(near)[: rng.randint(0, 60)] + line(rng.randint(0, 200)) for _ in range(12)]
+    return [*out, out[-1], out[-1] + "x", "ab" * 300, None, ""]
+
+
+@pytest.mark.parametrize("make, largest", [(texts, None), (texts, 250), (passages_in_contexts, 1500), (passages_in_contexts, 250)])
+def test_op1(spark, monkeypatch, make, largest):
+    """Also where every key of more than `largest` bytes is split."""
+    if largest:
+        monkeypatch.setattr(suffixes, "SHARD_BYTES", largest)
+    docs = make()
     at = defaultdict(set)
     raw = [(t or "").encode() for t in docs]
     for i, b in enumerate(raw):
