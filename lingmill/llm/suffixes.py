@@ -21,6 +21,7 @@ merge takes LENGTH / SYMBOL rounds. Symbols are exact ranks: 8 bytes are packed,
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,8 +270,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         own: dict[tuple[int, int], bytes] = {}
         for b in batches:
             own.update({(v, s): t for v, s, t in zip(*(b.column(i).to_pylist() for i in range(3)))})
-        if own:
-            keys = sorted(own)
+        texts = Counter(v for v, _ in own)
+        keys = sorted(k for k in own if texts[k[0]] > 1)  # a key's one text can only be repeated as a whole
+        if keys:
             found = [(k, *spans(x)) for k, x in zip(keys, repeats([own[k] for k in keys], length)) if len(x)]
             if found:
                 yield to_batch({"v": [k[0] for k, _, _ in found], "s": [k[1] for k, _, _ in found], "first": [x for _, x, _ in found], "last": [x for _, _, x in found]}, found_arrow)
