@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, small_batches, table, to_batch, utf8
 
 LENGTH, SYMBOL = 200, 40
-K = 32  # bytes of a winnowing gram
+K = 64  # bytes of a winnowing gram
 SEEN = 200_000  # segments that a task knows it has sent
 CHUNK, PLACE, TASK_BYTES, SHARD_BYTES = 1 << 18, 19, 1 << 20, 1 << 18
 WIDTHS = 44, 11, 1  # distances of a gram from the start of its windows that a part of a run holds
