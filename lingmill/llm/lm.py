@@ -19,6 +19,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import LOWER, arrow_schema, map_arrow, small_batches, table, to_batch, utf8
 from .subwords import BYTE_LEVEL, Ids
@@ -26,10 +27,10 @@ from .subwords import BYTE_LEVEL, Ids
 IDS, END_WORD = 50_257, "\n"  # byte-level ids; no word has a line feed, so it can stand for a text's end
 TOPICS, CLASSES, WIDTH = 8, 384, 16
 WINDOW, CONTEXT = 48, 16  # inputs of a window, of which all but the first CONTEXT are scored; in a text's first window all
-#: The gate and the topics are trained on every SHARE-th training text by hash, but on SAMPLE_TEXTS at least; the gate on every EVERY-th window of these.
-SAMPLE_TEXTS, SHARE, EVERY = 2048, 64, 8
-#: Each part of about PART_WINDOWS windows makes STEPS steps a round from the same weights; their means by windows start the next round.
+#: Every window of every training text is in one of ROUNDS rounds. Each part of about PART_WINDOWS of a round's windows (twice that at most) starts from the same weights and
+#: goes through all of its own, again until it has made STEPS steps; the parts' means by windows start the next round. Corpora of few parts have up to LEAST_PARTS smaller ones.
 PART_WINDOWS, ROUNDS, STEPS, BATCH, RATE, SEED = 16_384, 6, 50, 128, 0.01, 3
+LEAST_PARTS, LEAST_WINDOWS = 8, 8192
 COMMON_WORDS = 250_000  # words whose counts are broadcast; those of the rest come by a join, and count alike
 AT_ONCE = 512
 
@@ -50,20 +51,29 @@ def histogram(text: bytes) -> np.ndarray:
     return np.sqrt(h / max(len(text), 1))
 
 
-def centres(points: np.ndarray, sums, rounds: int = 8) -> np.ndarray:
-    """TOPICS means of the sample's histograms (k-means): the farthest of some points first, then rounds over the whole sample.
+def centres(sums, rounds: int = 8) -> np.ndarray:
+    """TOPICS means of the histograms of all texts (k-means): one at first; the one whose texts vary most is split along the direction they vary most in, until there are enough.
 
-    sums: from centres, the number of texts that are nearest to each and the sums of their histograms.
+    sums: from centres, the number of texts that are nearest to each, the sums of their histograms and those of their products, two bytes' each (or None).
     """
-    if not len(points):
-        return np.zeros((TOPICS, 256))
-    c = [points[0]]
-    while len(c) < TOPICS:
-        c.append(points[np.min([((points - x) ** 2).sum(1) for x in c], axis=0).argmax()])
-    c = np.array(c)
-    for _ in range(rounds):
-        n, total = sums(c)
+    c = np.zeros((1, 256))
+    while True:
+        n, total, products = sums(c, len(c) < TOPICS)
+        if not n.any():
+            return np.zeros((TOPICS, 256))
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        if len(c) == TOPICS:
+            break
+        own = [np.linalg.eigh(x / max(m, 1) - np.outer(y, y)) if m else (np.zeros(1), np.zeros((256, 1))) for x, m, y in zip(products, n, c)]
+        k = int(np.argmax([m * values[-1] for m, (values, _) in zip(n, own)]))
+        step = np.sqrt(max(own[k][0][-1], 0)) * own[k][1][:, -1]
+        c = np.concatenate([c, [c[k] + step]])
+        c[k] -= step
+    for _ in range(rounds - 1):
+        n, total, _ = sums(c, False)
+        last, c = c, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        if (c == last).all():
+            break
     return c
 
 
@@ -114,26 +124,10 @@ class Gate:
         self.p = {k: (rng.standard_normal(s) * 0.2).astype(np.float32) for k, s in shapes.items()}
         self.mask = np.triu(np.full((WINDOW, WINDOW), -1e4, np.float32), 1)
         self.made: tuple | None = None
-
-    def attend(self, x: np.ndarray):
-        p = self.p
-        e = p["emb"][x]
-        e += p["pos"]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a *= np.float32(1 / np.sqrt(WIDTH))
-        a += self.mask
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        return e, q, k, v, a, a @ v
-
-    def weights(self, h: np.ndarray) -> np.ndarray:
-        g = h @ (4 * self.p["out"]) + self.p["b"]
-        g -= g.max(-1, keepdims=True)
-        return g - np.log(np.exp(g).sum(-1, keepdims=True))
+        self.trained = 0  # windows
 
     def seen(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """What attend() gives last at the places (n, k) of the windows x (n, WINDOW), by queries, keys and values of the classes and places made once."""
+        """What attention gives at the places (n, k) of the windows x (n, WINDOW), by queries, keys and values of the classes and places made once."""
         if self.made is None:
             p = self.p
             keys, query = np.concatenate([p["k"], p["v"]], 1), p["q"] / np.float32(np.sqrt(WIDTH))
@@ -153,37 +147,72 @@ class Gate:
         """(TOPICS, places), but for what all topics of a place have in common."""
         return (4 * self.p["out"]).T @ h.T + self.p["b"][:, None]
 
-    def train(self, x: np.ndarray, experts: np.ndarray, used: np.ndarray, done: int = 0) -> None:
-        """x: classes (n, WINDOW); experts: log probabilities (n, WINDOW, TOPICS) of the word that starts after a place, where `used`. STEPS steps of Adam, after `done` of ROUNDS rounds."""
-        if not len(x):
-            return
-        rng, m, u = np.random.default_rng(SEED + done), dict.fromkeys(self.p, 0), dict.fromkeys(self.p, 0)
-        for step in range(1, STEPS + 1):
-            r = rng.integers(0, len(x), BATCH)
-            g = self.gradient(x[r], experts[r], used[r])
-            rate = RATE * (1 - 0.9 * (done * STEPS + step) / (ROUNDS * STEPS))
+    def train(self, x: np.ndarray, many: np.ndarray, place: np.ndarray, experts: np.ndarray, done: int = 0) -> None:
+        """x: classes (n, WINDOW); many: how many words start in each window; place, experts: of these words in a row, the place before and the log probabilities (TOPICS).
+
+        Adam over all windows, in random order, after `done` of ROUNDS rounds; over all again while that is less than STEPS steps.
+        """
+        n = len(x)
+        size = min(BATCH, n)
+        steps = max(-(-n // BATCH), STEPS)
+        rng, m, u, first = np.random.default_rng(SEED + done), dict.fromkeys(self.p, 0), dict.fromkeys(self.p, 0), np.cumsum(many) - many
+        order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * size // n))])
+        for step in range(1, steps + 1):
+            r = order[(step - 1) * size : step * size]
+            r = r[np.argsort(many[r], kind="stable")]  # windows with like numbers of words together
+            g, words = dict.fromkeys(self.p, 0), max(many[r].sum(), 1)
+            for own in np.array_split(r, min(4, len(r))):
+                k = np.arange(many[own[-1]])
+                at = first[own, None] + np.minimum(k, many[own, None] - 1)
+                for c, v in self.gradient(x[own], place[at], experts[at], (k < many[own, None]) / np.float32(words)).items():
+                    g[c] = g[c] + v
+            rate = RATE * (1 - 0.9 * (done + step / steps) / ROUNDS)
             for k in self.p:
                 m[k], u[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * u[k] + 0.01 * g[k] ** 2
                 self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-
-    def gradient(self, x: np.ndarray, experts: np.ndarray, used: np.ndarray) -> dict:
-        p, (e, q, k, v, a, h) = self.p, self.attend(x)
-        w = self.weights(h)
+        self.made = None
+
+    def gradient(self, x: np.ndarray, place: np.ndarray, experts: np.ndarray, share: np.ndarray) -> dict:
+        """Of the mean of -log of the mixtures, at the places (n, k) of the windows x (n, WINDOW); experts: (n, k, TOPICS); share: of each place in the mean."""
+        p, rows, root = self.p, np.arange(len(x))[:, None], np.float32(1 / np.sqrt(WIDTH))
+        maps = np.concatenate([p["q"] * root, p["k"], p["v"]], 1)  # of a class or a place to its query, key and value
+        y = (p["emb"] @ maps)[x]
+        y += p["pos"] @ maps
+        q, k, v = y[rows, place, :WIDTH], y[..., WIDTH : 2 * WIDTH], y[..., 2 * WIDTH :]
+        a = q @ k.transpose(0, 2, 1)
+        a += self.mask[place]
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        h = a @ v
+        w = h @ (4 * p["out"]) + p["b"]
+        w -= w.max(-1, keepdims=True)
         post = w + experts
-        post = np.exp(post - post.max(-1, keepdims=True))
+        post -= post.max(-1, keepdims=True)
+        np.exp(w, out=w)
+        np.exp(post, out=post)
+        w /= w.sum(-1, keepdims=True)
         post /= post.sum(-1, keepdims=True)
-        d = (np.exp(w) - post) * used[..., None] / max(used.sum(), 1)
+        d = (w - post) * share[..., None]
         dh = d @ (4 * p["out"]).T
-        dv, da = a.transpose(0, 2, 1) @ dh, dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) / np.float32(np.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = e.reshape(-1, WIDTH).T
-        g = {n: flat @ y.reshape(-1, WIDTH) for n, y in (("q", dq), ("k", dk), ("v", dv))}
+        dy = np.empty((len(x), WINDOW, 3 * WIDTH), np.float32)
+        dy[..., :WIDTH] = 0
+        dy[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dh
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= (dh * h).sum(-1, keepdims=True)
+        ds *= a
+        dq = ds @ k
+        dy[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+        real = share > 0
+        dy[np.broadcast_to(rows, place.shape)[real], place[real], :WIDTH] = dq[real]
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
+        by_class, by_place = np.zeros((CLASSES + 1, 3 * WIDTH), np.float32), dy.sum(0)
+        by_class[flat[order[first]]] = np.add.reduceat(dy.reshape(-1, 3 * WIDTH)[order], first, axis=0)
+        of_maps = p["emb"].T @ by_class + p["pos"].T @ by_place
+        g = {"q": of_maps[:, :WIDTH] * root, "k": of_maps[:, WIDTH : 2 * WIDTH], "v": of_maps[:, 2 * WIDTH :]}
         g |= {"out": 4 * h.reshape(-1, WIDTH).T @ d.reshape(-1, TOPICS), "b": d.sum((0, 1))}
-        de = dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g |= {"pos": de.sum(0), "emb": np.zeros_like(p["emb"])}
-        np.add.at(g["emb"], x.ravel(), de.reshape(-1, WIDTH))
-        return g
+        return g | {"emb": by_class @ maps.T, "pos": by_place @ maps.T}
 
 
 class Model:
@@ -294,6 +323,25 @@ class Scorer:
         take = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - stops + size, size)
         return number, counts.sum(1), size, np.concatenate([m.classes, classes])[take], np.ascontiguousarray(out.T)
 
+    def windows(self, texts: list[list[str]], found: tuple[dict[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What Gate.train() takes: the texts in windows one after the other, each word in that of the place before it. Windows where no word starts have nothing to learn from."""
+        _, _, size, classes, rows = self.inputs(texts, found)
+        n_words = np.array([len(t) for t in texts], np.int64)
+        owner, upto = np.repeat(np.arange(len(texts)), n_words), np.append(0, np.cumsum(size))
+        words_end = np.cumsum(n_words)
+        ids = upto[words_end] - upto[words_end - n_words]
+        begin = np.cumsum(ids + 1) - ids - 1  # of each text's start in a row of all
+        seq = np.full(len(classes) + len(texts) + WINDOW, CLASSES, np.int16)
+        inside = np.ones(len(seq), bool)
+        inside[begin] = False
+        inside[len(seq) - WINDOW :] = False
+        seq[inside] = classes
+        place = upto[:-1] - (upto[words_end - n_words])[owner]
+        start = begin[owner] + place // WINDOW * WINDOW
+        first = np.flatnonzero(np.append(True, start[1:] != start[:-1])) if len(start) else start
+        many = np.diff(np.append(first, len(start)))
+        return seq[start[first, None] + np.arange(WINDOW)], many, place % WINDOW, np.ascontiguousarray(rows.T)
+
     def score(self, texts: list[list[str]], found: tuple[dict[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text, the words' numbers, and the counts behind numbers from that of the common ones on."""
         m = self.model
@@ -382,78 +430,86 @@ def fit(learn: DataFrame, counts: DataFrame, tokenizer: str) -> Model:
     by_topic = np.stack([common.column(c).to_numpy() for c in names], 1).astype(float)
     model = Model(common.column(0).to_pylist(), by_topic, np.array([totals[c] for c in names], float), totals.v, totals.once)
 
-    own = counts.where(F.col("word") != END_WORD).select("word", *names)
+    def spelled(b: pa.RecordBatch) -> dict:
+        n, ids = Ids.of(tokenizer, BYTE_LEVEL).of_words(b.column(0).to_pylist())
+        return {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))} | {c: b.column(c) for c in names}
 
     def parts(b: pa.RecordBatch):
-        n, ids = Ids.of(tokenizer, BYTE_LEVEL).of_words(b.column(0).to_pylist())
+        n, ids = b.column(0).value_lengths().to_numpy(zero_copy_only=False), b.column(0).flatten().to_numpy(zero_copy_only=False)
         return ids, n, np.stack([b.column(i).to_numpy() for i in range(1, 1 + TOPICS)], 1)
 
-    # classes by the common words; then all ids and pairs in one pass over the distinct words
-    n, ids = Ids.of(tokenizer, BYTE_LEVEL).of_words([w for w in model.words if w != END_WORD])
-    weight = [c for c, w in zip(by_topic.sum(1).tolist(), model.words) if w != END_WORD]
-    model.set_classes(np.bincount(ids, weights=np.repeat(weight, n), minlength=IDS) if len(ids) else np.zeros(IDS))
+    # every distinct word's ids; then classes by the counts of all ids, then pairs
+    small_batches(learn.sparkSession, 20_000)
+    own = counts.where(F.col("word") != END_WORD).select("word", *names)
+    own = table(map_arrow(own, spelled, ", ".join(["ids array<int>", *(f"{c} long" for c in names)])), "spelled")
     size = (CLASSES + 1) * CLASSES
 
     def id_counts(b: pa.RecordBatch) -> np.ndarray:
+        ids, n, c = parts(b)
+        return np.bincount(ids, weights=np.repeat(c.sum(1), n), minlength=IDS).astype(np.int64)
+
+    def pair_counts(b: pa.RecordBatch) -> np.ndarray:
         ids, n, c = parts(b)
         k = model.class_of[ids].astype(np.int64)
         before = np.empty_like(k)
         before[1:] = k[:-1]
         before[np.cumsum(n) - n] = CLASSES
-        return np.concatenate([np.bincount(ids, weights=np.repeat(c.sum(1), n), minlength=IDS), *(np.bincount(before * CLASSES + k, weights=np.repeat(c[:, t], n), minlength=size) for t in range(TOPICS))]).astype(np.int64)
+        return np.concatenate([np.bincount(before * CLASSES + k, weights=np.repeat(c[:, t], n), minlength=size) for t in range(TOPICS)]).astype(np.int64)
 
-    small_batches(learn.sparkSession, 20_000)
-    sums = _sums(own, id_counts, IDS + TOPICS * size).astype(float)
+    by_id = _sums(own, id_counts, IDS).astype(float)
+    model.ids = int(by_id.sum())
+    model.set_classes(by_id)
+    pairs = _sums(own, pair_counts, TOPICS * size).astype(float)
     small_batches(learn.sparkSession)
-    model.set_ids(sums[:IDS])
-    model.set_pairs(sums[IDS:].reshape(TOPICS, CLASSES + 1, CLASSES))
+    model.set_ids(by_id)
+    model.set_pairs(pairs.reshape(TOPICS, CLASSES + 1, CLASSES))
     model.spell_common(Ids.of(tokenizer, BYTE_LEVEL))
     return model
 
 
-def train_gate(held: DataFrame, shared, tokenizer: str) -> dict[str, np.ndarray]:
-    """The gate's weights, from held(text, found), see counted(): every EVERY-th window of each text, from a place that its length gives.
+def train_gate(held: DataFrame, shared, tokenizer: str) -> Gate:
+    """The gate, from held(doc_id, text, found, deal), see counted(): every window of every text.
 
-    The windows are dealt to parts by a hash. Each round every part trains on its own from the same weights; the driver
-    gets no more than their means, summed in 16 tasks first. How many parts there are grows with the corpus.
+    The texts are dealt to rounds and parts by a hash, whatever task reads them. In a round each task cuts its texts to windows and trains
+    its parts, all from the same weights; the driver gets no more than their means, summed in 16 tasks first. How many parts there are grows with the corpus.
     """
-    schema = "x binary, experts binary, used binary"
+    schema = "part int, n double, w binary"
     arrow = arrow_schema(schema)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, tokenizer)
-        for b in batches:
-            out: dict = {c: [] for c in arrow.names}
-            for i, words in enumerate(text_words(utf8(b.column(0)))):
-                if not words:
-                    continue
-                _, _, size, classes, rows = scorer.inputs([words], looked_up(b.column(1)[i : i + 1].flatten()))
-                starts, n = np.cumsum(size) - size, len(classes)
-                seq, logs, on = np.full(n + WINDOW, CLASSES, np.int16), np.zeros((n + WINDOW, TOPICS), np.float32), np.zeros(n + WINDOW, bool)
-                seq[1 : n + 1], logs[starts], on[starts] = classes, rows.T, True
-                every = -(-n // WINDOW)
-                for a in range(n % min(EVERY, every) * WINDOW, n, EVERY * WINDOW):
-                    for c, v in zip(arrow.names, (seq, logs, on)):
-                        out[c].append(v[a : a + WINDOW].tobytes())
-            yield to_batch(out, arrow)
-
-    windows = table(held.select("text", "found").mapInArrow(cut, schema), "windows")
-    parts = max(1, -(-windows.count() // PART_WINDOWS))
-    order = F.xxhash64("x", "experts")
-    windows = table(windows.repartition(parts, order).sortWithinPartitions(order, "x"), "dealt")
-    gate = Gate()
+    gate, empty = Gate(), {c: v.shape for c, v in Gate().p.items()}
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for done in range(ROUNDS):
         weights = gate.p
 
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Gate()
-            own.p = weights
-            raw = [b"".join(x) for x in zip(*(map(b"".join, (b.column(i).to_pylist() for i in range(3))) for b in batches))]
-            if raw and raw[0]:
-                x = np.frombuffer(raw[0], np.int16).reshape(-1, WINDOW)
-                own.train(x, np.frombuffer(raw[1], np.float32).reshape(-1, WINDOW, TOPICS), np.frombuffer(raw[2], bool).reshape(-1, WINDOW), done)
-                flat = np.concatenate([v.ravel() for v in own.p.values()]).astype(float)
-                yield to_batch({"part": [TaskContext.get().partitionId() % 16], "n": [float(len(x))], "w": [(flat * len(x)).tobytes()]}, gate_arrow)
+            scorer, own, last, n, flat = Scorer(shared.value, tokenizer), [], None, 0, 0.0
+
+            def part(most: int) -> None:
+                """Train on the first `most` of the windows at hand; the rest stays."""
+                nonlocal n, flat
+                x, many, place, experts = (np.concatenate(v) for v in zip(*own))
+                words, gate = many[:most].sum(), Gate()
+                own[:] = [(x[most:], many[most:], place[words:], experts[words:])] if len(x) > most else []
+                gate.p = weights
+                gate.train(x[:most], many[:most], place[:words], experts[:words], done)
+                n, flat = n + len(x[:most]), flat + len(x[:most]) * np.concatenate([v.ravel() for v in gate.p.values()]).astype(float)
+
+            for b in batches:
+                deal = b.column(2).to_numpy()
+                cuts = np.flatnonzero(np.diff(deal)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(deal)]):
+                    if hi > lo:
+                        if own and deal[lo] != last:
+                            part(2 * PART_WINDOWS)
+                        last = deal[lo]
+                        texts, found = b.column(0)[lo:hi], b.column(1)[lo:hi]
+                        if len((x := scorer.windows(text_words(utf8(texts)), looked_up(found.flatten())))[0]):
+                            own.append(x)
+                        while sum(len(x[0]) for x in own) >= 2 * PART_WINDOWS:
+                            part(2 * PART_WINDOWS)
+            if own:
+                part(2 * PART_WINDOWS)
+            if n:
+                yield to_batch({"part": [TaskContext.get().partitionId() % 16], "n": [float(n)], "w": [flat.tobytes()]}, arrow)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, w = 0.0, 0.0
@@ -461,38 +517,43 @@ def train_gate(held: DataFrame, shared, tokenizer: str) -> dict[str, np.ndarray]
                 for m, x in sorted(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     n, w = n + m, w + np.frombuffer(x)
             if n:
-                yield to_batch({"part": [0], "n": [n], "w": [w.tobytes()]}, gate_arrow)
+                yield to_batch({"part": [0], "n": [n], "w": [w.tobytes()]}, arrow)
 
-        gate_schema = "part int, n double, w binary"
-        gate_arrow = arrow_schema(gate_schema)
-        sums = sorted((r.n, bytes(r.w)) for r in windows.mapInArrow(step, gate_schema).repartition(16, "part").mapInArrow(add, gate_schema).collect())
+        turned = held.where(turn == done).select("text", "found", "deal")
+        sums = sorted((r.n, bytes(r.w)) for r in turned.mapInArrow(step, schema).repartition(16, "part").mapInArrow(add, schema).collect())
         if not sums:
-            break
-        flat, at = sum(np.frombuffer(w) for _, w in sums) / sum(n for n, _ in sums), 0
+            continue
+        windows = sum(n for n, _ in sums)
+        flat, at = sum(np.frombuffer(w) for _, w in sums) / windows, 0
+        gate.trained += int(windows)
         gate.p = {}
-        for k, v in weights.items():
-            gate.p[k], at = flat[at : at + v.size].reshape(v.shape).astype(np.float32), at + v.size
-    return gate.p
+        for k, shape in empty.items():
+            size = int(np.prod(shape))
+            gate.p[k], at = flat[at : at + size].reshape(shape).astype(np.float32), at + size
+    return gate
+
 
+def counted(rows: DataFrame, counts: DataFrame, model: Model, shared) -> DataFrame:
+    """rows(doc_id, learn, text) with found: the counts of each text's words that aren't common, structs (h, c0 ..); and deal.
 
-def counted(rows: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """rows(doc_id, learn, text) with found: the counts of each text's words that aren't common, structs (h, c0 ..)."""
+    Rows meet them by a hash of doc_id and text; two that share one get each other's too, which change nothing. That hash deals
+    the rows, too: those with the same `deal` are in one task, sorted; how many of these there are, the model's windows say.
+    """
+    windows = model.ids // WINDOW
+    deals = max(1, -(-windows // (ROUNDS * PART_WINDOWS)), min(LEAST_PARTS, windows // LEAST_WINDOWS))
     names = [f"c{k}" for k in range(TOPICS)]
-    schema = "row long, doc_id long, learn boolean, text string, rare array<long>"
-    arrow = arrow_schema(schema)
+    texts = rows.select("doc_id", "learn", "text", F.xxhash64("doc_id", "text").alias("row"))
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
+    def others(b: pa.RecordBatch) -> dict:
         common = set(shared.value.words)
-        for b in batches:
-            rare = [hashes(list({w for w in t if w not in common})) for t in text_words(utf8(b.column(2)))]
-            yield to_batch({"row": np.arange(row, row + len(rare)), "doc_id": b.column(0), "learn": b.column(1), "text": b.column(2), "rare": rare}, arrow)
-            row += len(rare)
+        rare = [hashes(list({w for w in t if w not in common})) for t in text_words(utf8(b.column(1)))]
+        return {"r": np.repeat(b.column(0).to_numpy(), [len(x) for x in rare]), "w": np.concatenate(rare)}
 
-    texts = table(rows.select("doc_id", "learn", "text").mapInArrow(others, schema), "texts")
-    found = texts.select("row", F.explode("rare").alias("w")).join(counts.select("h", *names), F.col("w") == F.col("h"))
-    found = found.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("h", *names)).alias("found"))
-    return texts.join(found.hint("merge"), F.col("row") == F.col("r"), "left").select("doc_id", "learn", "text", "found")
+    found = map_arrow(texts.select("row", "text"), others, "r long, w long").join(counts.select("h", *names), F.col("w") == F.col("h"))
+    found = found.groupBy(F.col("r").alias("row")).agg(F.collect_list(F.struct("h", *names)).alias("found"))
+    both = texts.withColumn("own", F.lit(True)).unionByName(found, allowMissingColumns=True).repartition(deals, "row")  # a join would deal them anew
+    whole = both.withColumn("found", F.first("found", ignorenulls=True).over(W.partitionBy("row"))).where("own")
+    return whole.select("doc_id", "learn", "text", "found", F.pmod(F.hash("row"), F.lit(deals)).alias("deal"))
 
 
 def common_words(counts: DataFrame) -> DataFrame:
@@ -505,37 +566,43 @@ def common_words(counts: DataFrame) -> DataFrame:
     return counts
 
 
-def sample_texts(learn: DataFrame, n_texts: int) -> DataFrame:
-    """Whole texts with the smallest hashes: a SHARE-th of all, or about SAMPLE_TEXTS if that is more."""
-    share = min(max(1 / SHARE, SAMPLE_TEXTS / max(n_texts, 1)), 1.0)
-    return learn.where(F.xxhash64("text") < F.lit(int(-(2**63) + share * (2**64 - 1)))) if share < 1 else learn
-
+def topic_centres(learn: DataFrame) -> np.ndarray:
+    """centres() of all texts of learn(text); only sums come to the driver."""
+    points = table(map_arrow(learn.select("text"), lambda b: {"p": [histogram(t).astype(np.float32).tobytes() for t in utf8(b.column(0))]}, "p binary"), "histograms")
+    upper = np.triu_indices(256)
 
-def sample_centres(sample: DataFrame) -> np.ndarray:
-    """centres() of sample(text); only SAMPLE_TEXTS histograms, and sums, come to the driver."""
-    few = sample.orderBy(F.xxhash64("text")).limit(SAMPLE_TEXTS).select("text")
-    points = map_arrow(few, lambda b: {"p": [histogram(t).tolist() for t in utf8(b.column(0))]}, "p array<double>").toArrow().column(0).to_pylist()
-
-    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sums(c: np.ndarray, products: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         def one(b: pa.RecordBatch) -> np.ndarray:
-            h = np.array([histogram(t) for t in utf8(b.column(0))])
-            own = np.eye(TOPICS)[topics_of(h, c)]
-            return np.concatenate([own.sum(0), np.rint(own.T @ h * (1 << 20)).ravel()]).astype(np.int64)
-
-        x = _sums(sample.select("text"), one, TOPICS * 257).astype(float)
-        return x[:TOPICS], x[TOPICS:].reshape(TOPICS, 256) / (1 << 20)
-
-    return centres(np.array(points, float).reshape(-1, 256), sums)
+            h = np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, 256)
+            topics = topics_of(h, c)
+            own = np.eye(len(c))[topics]
+            both = [(x.T @ x)[upper] for x in (h[topics == k] for k in range(len(c)))] if products else []
+            return np.concatenate([own.sum(0), *(np.rint(x * (1 << 20)).ravel() for x in (own.T @ h, *both))]).astype(np.int64)
+
+        k = len(c)
+        x = _sums(points, one, k * (257 + products * len(upper[0]))).astype(float)
+        n, total, rest = x[:k], x[k : 257 * k].reshape(k, 256) / (1 << 20), x[257 * k :].reshape(-1, len(upper[0])) / (1 << 20)
+        if not products:
+            return n, total, None
+        full = np.zeros((k, 256, 256))
+        full[:, upper[0], upper[1]] = full[:, upper[1], upper[0]] = rest
+        return n, total, full
+
+    return centres(sums)
+
+
+def fitted(learn: DataFrame, tokenizer: str) -> tuple[Model, DataFrame, int]:
+    """As train(), without the gate."""
+    n_texts = learn.count()
+    counts = table(word_counts(learn.select("text"), topic_centres(learn)), "words")
+    return fit(learn, counts, tokenizer), counts, n_texts
 
 
 def train(learn: DataFrame, tokenizer: str) -> tuple[Model, DataFrame, int]:
     """From learn(doc_id, learn, text): the model with its gate, the table of word counts and the number of texts."""
-    n_texts = learn.count()
-    sample = table(sample_texts(learn, n_texts), "sample")
-    counts = table(word_counts(learn.select("text"), sample_centres(sample)), "words")
-    model = fit(learn, counts, tokenizer)
+    model, counts, n_texts = fitted(learn, tokenizer)
     shared = learn.sparkSession.sparkContext.broadcast(model)
-    model.gate.p = train_gate(counted(sample, counts, shared), shared, tokenizer)
+    model.gate = train_gate(table(counted(learn, counts, model, shared), "held"), shared, tokenizer)
     shared.unpersist()
     return model, counts, n_texts
 
@@ -553,12 +620,23 @@ def score_texts(docs: DataFrame, learn: F.Column, tokenizer: str) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
-    return score_rows(base, *train(base.where("learn"), tokenizer), tokenizer)
+    model, counts, n_texts = fitted(base.where("learn"), tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = table(counted(base, counts, model, shared), "held")
+    model.gate = train_gate(held.where("learn"), shared, tokenizer)
+    shared.unpersist()
+    return _scored(held, model, n_texts, tokenizer)
 
 
 def score_rows(rows: DataFrame, model: Model, counts: DataFrame, n_texts: int, tokenizer: str) -> DataFrame:
     """As score_texts, for rows(doc_id, text, learn) and what train() gave."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    return _scored(counted(rows, counts, model, shared), model, n_texts, tokenizer)
+
+
+def _scored(held: DataFrame, model: Model, n_texts: int, tokenizer: str) -> DataFrame:
+    """score_texts() of held(doc_id, learn, text, found), see counted()."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
     scored = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored_arrow = arrow_schema(scored)
     end = float(np.log10((n_texts + 0.5) / (model.total + 0.5 * (model.distinct + 1))))
@@ -581,4 +659,4 @@ def score_rows(rows: DataFrame, model: Model, counts: DataFrame, n_texts: int, t
             add = lambda x: np.where(n > 0, np.add.reduceat(x, edges)[::2], 0)
             yield to_batch({"doc_id": b.column(0), "learn": b.column(1), "n_tokens": n + 1, "n_known": add(known.astype(np.int64)) + int(n_texts > 0), "train_tokens": np.full(len(n), int(m.total)), "base_score": add(sums) + end, "score": score}, scored_arrow)
 
-    return counted(rows, counts, shared).mapInArrow(each, scored)
+    return held.mapInArrow(each, scored)

@@ -467,3 +467,47 @@ def test_merges_by_rank(name):
 def texts_of_words():
     rng = random.Random(11)
     return (" ".join("".join(rng.choice("abcdefghijklmnop'.,-0é") for _ in range(rng.randint(1, 14))) for _ in range(20)) for _ in range(200))
+
+
+def test_op8_trains_on_all_texts(spark):
+    """Every window of every text trains the gate, and every text its topic's mean, also of more texts than the 2,048 that a sample had."""
+    rng = random.Random(11)
+    docs = [" ".join([chr(97 + i % 8) * 40, "z" * (i % 7 + 1), *(f"w{rng.randrange(50)}" for _ in range(rng.randrange(3)))]) for i in range(2600)]
+    docs += [" ".join(f"x{rng.randrange(300)}" for _ in range(4000)), "é" * 3000, None, " "]
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    rows = documents(spark, docs).select("doc_id", "text", F.lit(True).alias("learn"))
+    model, _, n = lm.train(rows, path)
+    ids_of, windows = subwords.Ids(path, subwords.BYTE_LEVEL), 0
+    for words in lm.text_words([(t or "").encode() for t in docs]):
+        sizes = ids_of.of_words(words)[0]
+        windows += len(set(((np.cumsum(sizes) - sizes) // lm.WINDOW).tolist()))
+    assert n == len(docs) and model.gate.trained == windows > len(docs)
+    means, points = lm.topic_centres(rows), np.array([lm.histogram((t or "").encode()) for t in docs])
+    near = lm.topics_of(points, means)
+    assert len(set(near.tolist())) == lm.TOPICS
+    for k in range(lm.TOPICS):
+        assert np.abs(points[near == k].mean(0) - means[k]).max() < 1e-4
+
+
+def test_op8_gradient():
+    """Against differences, in windows with different numbers of words."""
+    rng, gate = np.random.default_rng(12), lm.Gate()
+    gate.p = {k: v.astype(float) for k, v in gate.p.items()}
+    x, many = rng.integers(0, lm.CLASSES + 1, (6, lm.WINDOW)).astype(np.int16), np.array([1, 3, 5, 9, 20, 30])
+    place = np.stack([np.sort(rng.permutation(lm.WINDOW)[:30]) for _ in many])
+    share, experts = (np.arange(30) < many[:, None]) / many.sum(), rng.standard_normal((6, 30, lm.TOPICS)) * 3
+    log_sum = lambda v: np.log(np.exp(v).sum(-1))
+
+    def loss():
+        gate.made = None
+        w = gate.seen(x, place) @ (4 * gate.p["out"]) + gate.p["b"]
+        return ((log_sum(w) - log_sum(w + experts)) * share).sum()
+
+    for name, g in gate.gradient(x, place, experts, share).items():
+        v, i = gate.p[name], np.unravel_index(np.abs(g).argmax(), g.shape)
+        around = []
+        for step in (1e-4, -2e-4):
+            v[i] += step
+            around.append(loss())
+        v[i] += 1e-4
+        assert (around[0] - around[1]) / 2e-4 == pytest.approx(g[i], rel=1e-3), name
