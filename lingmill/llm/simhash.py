@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,8 +37,13 @@ def shingle_hashes(text: bytes, words: int = 4) -> Iterator[np.ndarray]:
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """Signed 64-bit: bit i is 1 if set in over half of the XXH64 values of the shingles. No words: 0."""
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit: bit i is 1 if set in over half of all values of the arrays."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(h)
     bits = np.packbits(2 * ones > n, bitorder="little")
@@ -260,15 +265,27 @@ def candidates(keyed: DataFrame) -> DataFrame:
     return shards.withColumn("lo", F.min("fp").over(W.partitionBy("shard"))).where("fp > lo").select(F.col("fp").alias("hi"), "lo")
 
 
+def near_candidates(rows: DataFrame, radius: int = 4) -> DataFrame:
+    """(hi, lo) links of the fp in rows(fp, print) that connect what has fingerprints (print) within the radius, found by BK-trees (see near_links)."""
+    named = table(rows.select("fp", "print").distinct(), "prints")
+    first = table(named.groupBy(F.col("print").alias("p")).agg(F.min("fp").alias("first")), "distinct_prints")
+    equal = named.join(first.hint("merge"), F.col("print") == F.col("p")).where("fp != first").select(F.col("fp").alias("hi"), F.col("first").alias("lo"))
+    near = table(near_links(first.select(F.col("p").alias("fp")), radius), "near")
+    near = near.join(first.select("p", F.col("first").alias("a")).hint("merge"), F.col("hi") == F.col("p")).select("a", "lo")
+    near = near.join(first.hint("merge"), F.col("lo") == F.col("p")).select("a", "first")
+    return equal.union(near)
+
+
 def exact_roots(rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(node, root) of the fp in rows(fp, text, keys, row), but those alone: roots are the smallest fp of the components under
+    """(node, root) of the fp in rows(fp, text, print, keys, row), but those alone: roots are the smallest fp of the components under
     a Jaccard index of at least `similarity`.
 
-    One text of each fp goes to the task of its component of candidates, where every link is checked by the sets.
+    Candidates are what SimHash fingerprints link through BK-trees, and what shares a min-hash key: at the similarity itself
+    fingerprints are often further apart than trees can be asked for. One text of each fp goes to the task of its component of candidates, where every link is checked by the sets.
     """
     schema = "node long, root long"
     arrow = arrow_schema(schema)
-    wide = table(components(candidates(rows)), "wide")
+    wide = table(components(near_candidates(rows).union(candidates(rows))), "wide")
     wide = wide.union(wide.select("root", "root").distinct())
     first = rows.groupBy("fp").agg(F.min("row").alias("first"))
     wide = table(wide.join(first.hint("merge"), F.col("node") == F.col("fp")).select("fp", "root", "first"), "candidates")
@@ -309,22 +326,25 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, blocks: in
 
 
 def similar_rows(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """docs(text, ...) with columns row (a number of its own), fp and keys, and (node, root): the component of each fp that isn't its own root.
+    """docs(text, ...) with columns row (a number of its own), fp, print and keys, and (node, root): the component of each fp that isn't its own root.
 
     Texts are linked by a Jaccard index of their distinct shingles of at least `similarity`, checked by the shingles themselves
-    (their 64-bit hashes). Which pairs are checked is found by min-hash keys (see sketch). fp names a set of shingles; texts without words have the empty one.
+    (their 64-bit hashes). Which pairs are checked is found by SimHash fingerprints (print: of the distinct shingles) through BK-trees, and by min-hash keys (see sketch). fp names a set of shingles; texts without words have the empty one.
     """
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    fields = T.StructType([*docs.schema.fields, *T._parse_datatype_string("row long, fp long, keys array<long>").fields])
+    fields = T.StructType([*docs.schema.fields, *T._parse_datatype_string("row long, fp long, print long, keys array<long>").fields])
     arrow = to_arrow_schema(fields)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            found = [sketch(shingle_set(t, words)) for t in utf8(b.column(at))]
+            found = []
+            for t in utf8(b.column(at)):
+                s = shingle_set(t, words)
+                found.append((*sketch(s), majority(s[a : a + PART] for a in range(0, len(s), PART))))
             columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            yield to_batch(columns | {"row": np.arange(row, row + len(found)), "fp": [x for x, _ in found], "keys": [k.tolist() for _, k in found]}, arrow)
+            yield to_batch(columns | {"row": np.arange(row, row + len(found)), "fp": [x for x, _, _ in found], "print": [p for _, _, p in found], "keys": [k.tolist() for _, k, _ in found]}, arrow)
             row += len(found)
 
     rows = table(docs.mapInArrow(each, fields), "sketched")

@@ -511,3 +511,18 @@ def test_op8_gradient():
             around.append(loss())
         v[i] += 1e-4
         assert (around[0] - around[1]) / 2e-4 == pytest.approx(g[i], rel=1e-3), name
+
+
+def test_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """Without any min-hash key, BK-trees of SimHash fingerprints find what differs in 4 bits at most; the sets decide."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(simhash, "candidates", lambda rows: rows.select(F.col("fp").alias("hi"), F.col("fp").alias("lo")).limit(0))
+    rng, docs = random.Random(13), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        docs += [" ".join(base), " ".join([*base, "more"]), " ".join([*base[:200], *(f"v{rng.randrange(10**6)}" for _ in range(200))])]
+    prints = [simhash.majority([simhash.shingle_set(t.encode())]) for t in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4]
+    want = roots(len(docs), [(i, j) for i, j in near if jaccard(docs[i], docs[j]) >= 0.8])
+    kept = sorted(r.doc_id for r in pipeline.near_duplicates(spark, documents(spark, docs).select(*pipeline.COLUMNS), "").collect())
+    assert kept == sorted(set(want)) and len(kept) <= 26
