@@ -9,17 +9,15 @@ words and its end, each a mixture of the experts.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import LOWER, arrow_schema, map_arrow, small_batches, table, to_batch, utf8
 from .subwords import BYTE_LEVEL, Ids
@@ -43,6 +41,30 @@ def text_words(texts: list[bytes]) -> list[list[str]]:
     return [[w for w in t.translate(SPACED).decode(errors="replace").split(" ") if w] for t in texts]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """text_words() of a column: all words in a row, and how many each text has."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = texts.buffers()[2]
+    plain = (data.slice(ends[0], ends[-1] - ends[0]).to_pybytes() if data else b"").translate(SPACED)
+    spaced = pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(plain))
+    try:
+        spaced.validate(full=True)
+    except pa.ArrowInvalid:
+        spaced = pa.array([x.decode(errors="replace") for x in spaced.cast(pa.binary()).to_pylist()], pa.string())
+    return parts_of(spaced)
+
+
+def parts_of(joined: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What spaces separate, all in a row, and how many parts each value has; empty parts don't count."""
+    parts = pc.split_pattern(joined, " ")
+    flat = parts.flatten()
+    real = pc.not_equal(pc.binary_length(flat), 0)
+    upto = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    stops = np.append(0, np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)))
+    return flat.filter(real), np.diff(upto[stops])
+
+
 def histogram(text: bytes) -> np.ndarray:
     """Square roots of byte shares, a unit vector; zeros for an empty text."""
     h = np.zeros(256)
@@ -83,30 +105,42 @@ def topics_of(points: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def word_counts(docs: DataFrame, c: np.ndarray) -> DataFrame:
     """(word, c0 .. , c, h) of the whole texts of docs(text): counts by topic, in all, and the word's XXH64. Ends count as END_WORD."""
-    schema = "word string, topic int, n long"
+    names = [f"c{k}" for k in range(TOPICS)]
+    schema = ", ".join(["word string", *(f"{k} long" for k in names)])
     arrow = arrow_schema(schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [Counter() for _ in range(TOPICS)]
+        words, sums, ends = [], [], np.zeros((1, TOPICS))
 
-        def flush():
-            for k, s in enumerate(sums):
-                if s:
-                    yield to_batch({"word": list(s), "topic": [k] * len(s), "n": list(s.values())}, arrow)
-                s.clear()
+        def summed() -> tuple[pa.Array, np.ndarray]:
+            x, n = pa.concat_arrays(words).dictionary_encode(), np.concatenate(sums)
+            at = x.indices.to_numpy()
+            return x.dictionary, np.stack([np.bincount(at, n[:, k], len(x.dictionary)) for k in range(TOPICS)], 1)
 
-        for b in batches:
-            texts = utf8(b.column(0))
-            if texts:
-                for k, words in zip(topics_of(np.array([histogram(t) for t in texts]), c).tolist(), text_words(texts)):
-                    sums[k].update(words)
-                    sums[k][END_WORD] += 1
-            if sum(map(len, sums)) > 300_000:
-                yield from flush()
-        yield from flush()
+        def flush(x: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return to_batch({"word": x, **{k: v.astype(np.int64) for k, v in zip(names, n.T)}}, arrow)
 
-    by_topic = [F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(TOPICS)]
-    return docs.select("text").mapInArrow(each, schema).groupBy("word").agg(*by_topic, F.sum("n").alias("c")).withColumn("h", F.xxhash64("word"))
+        for b in batches:
+            if b.num_rows:
+                topics = topics_of(np.array([histogram(t) for t in utf8(b.column(0))]), c)
+                flat, n = split_words(b.column(0))
+                x = flat.dictionary_encode()
+                words.append(x.dictionary)
+                sums.append(np.bincount(x.indices.to_numpy() * np.int64(TOPICS) + np.repeat(topics, n), minlength=len(x.dictionary) * TOPICS).reshape(-1, TOPICS))
+                ends += np.bincount(topics, minlength=TOPICS)
+            if sum(map(len, words)) > 200_000:
+                x, n = summed()
+                words, sums = [x], [n]
+                if len(x) > 100_000:
+                    yield flush(x, n)
+                    words, sums = [], []
+        if words:
+            yield flush(*summed())
+        if ends.any():
+            yield flush(pa.array([END_WORD]), ends)
+
+    counts = docs.select("text").mapInArrow(each, schema).groupBy("word").agg(*(F.sum(k).alias(k) for k in names))
+    return counts.withColumn("c", sum(F.col(k) for k in names)).withColumn("h", F.xxhash64("word"))
 
 
 def window_of(place: np.ndarray) -> np.ndarray:
@@ -131,7 +165,8 @@ class Gate:
         if self.made is None:
             p = self.p
             keys, query = np.concatenate([p["k"], p["v"]], 1), p["q"] / np.float32(np.sqrt(WIDTH))
-            self.made = p["emb"] @ query, p["pos"] @ query, p["emb"] @ keys, p["pos"] @ keys
+            one = np.ones((CLASSES + 1, 1), keys.dtype)  # sums come with the products
+            self.made = p["emb"] @ query, p["pos"] @ query, np.concatenate([p["emb"] @ keys, one], 1), np.pad(p["pos"] @ keys, ((0, 0), (0, 1)))
         q = self.made[0][np.take_along_axis(x, place, 1)]
         q += self.made[1][place]
         y = self.made[2][x]
@@ -140,8 +175,7 @@ class Gate:
         a += self.mask[place]
         np.exp(a, out=a)
         h = a @ y[..., WIDTH:]
-        h /= a.sum(-1, keepdims=True)
-        return h
+        return h[..., :WIDTH] / h[..., WIDTH:]
 
     def log_weights(self, h: np.ndarray) -> np.ndarray:
         """(TOPICS, places), but for what all topics of a place have in common."""
@@ -155,70 +189,81 @@ class Gate:
         n = len(x)
         size = min(BATCH, n)
         steps = max(-(-n // BATCH), STEPS)
-        rng, m, u, first = np.random.default_rng(SEED + done), dict.fromkeys(self.p, 0), dict.fromkeys(self.p, 0), np.cumsum(many) - many
+        rng, first = np.random.default_rng(SEED + done), np.cumsum(many) - many
         order = np.concatenate([rng.permutation(n) for _ in range(-(-steps * size // n))])
+        flat = np.concatenate([v.ravel() for v in self.p.values()])  # all weights in a row, so that a step is a few operations
+        stops = np.cumsum([v.size for v in self.p.values()])
+        self.p = {k: v.reshape(self.p[k].shape) for k, v in zip(self.p, np.split(flat, stops[:-1]))}
+        m = u = np.zeros_like(flat)
         for step in range(1, steps + 1):
             r = order[(step - 1) * size : step * size]
             r = r[np.argsort(many[r], kind="stable")]  # windows with like numbers of words together
-            g, words = dict.fromkeys(self.p, 0), max(many[r].sum(), 1)
+            g, words = 0, max(many[r].sum(), 1)
             for own in np.array_split(r, min(4, len(r))):
                 k = np.arange(many[own[-1]])
                 at = first[own, None] + np.minimum(k, many[own, None] - 1)
-                for c, v in self.gradient(x[own], place[at], experts[at], (k < many[own, None]) / np.float32(words)).items():
-                    g[c] = g[c] + v
+                of = self.gradient(x[own], place[at], experts[at], (k < many[own, None]) / np.float32(words))
+                g = g + np.concatenate([of[c].ravel() for c in self.p])
             rate = RATE * (1 - 0.9 * (done + step / steps) / ROUNDS)
-            for k in self.p:
-                m[k], u[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * u[k] + 0.01 * g[k] ** 2
-                self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            m, u = 0.9 * m + 0.1 * g, 0.99 * u + 0.01 * g**2
+            flat -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(u / (1 - 0.99**step)) + 1e-8)).astype(flat.dtype)
         self.made = None
 
     def gradient(self, x: np.ndarray, place: np.ndarray, experts: np.ndarray, share: np.ndarray) -> dict:
         """Of the mean of -log of the mixtures, at the places (n, k) of the windows x (n, WINDOW); experts: (n, k, TOPICS); share: of each place in the mean."""
-        p, rows, root = self.p, np.arange(len(x))[:, None], np.float32(1 / np.sqrt(WIDTH))
+        p, root = self.p, np.float32(1 / np.sqrt(WIDTH))
         maps = np.concatenate([p["q"] * root, p["k"], p["v"]], 1)  # of a class or a place to its query, key and value
-        y = (p["emb"] @ maps)[x]
-        y += p["pos"] @ maps
-        q, k, v = y[rows, place, :WIDTH], y[..., WIDTH : 2 * WIDTH], y[..., 2 * WIDTH :]
+        inputs = p["emb"][x]
+        inputs += p["pos"]
+        flat = inputs.reshape(-1, WIDTH)
+        y = np.empty((*x.shape, 3 * WIDTH + 1), flat.dtype)  # the last column is 1: sums come with the products
+        np.matmul(flat, maps, out=y.reshape(len(flat), -1)[:, :-1])
+        y[..., -1] = 1
+        k, v = y[..., WIDTH : 2 * WIDTH], y[..., 2 * WIDTH :]
+        at = (np.arange(len(x))[:, None] * WINDOW + place).ravel()
+        q = flat[at] @ maps[:, :WIDTH]
+        q = q.reshape(*place.shape, WIDTH)
         a = q @ k.transpose(0, 2, 1)
         a += self.mask[place]
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        h = a @ v
-        w = h @ (4 * p["out"]) + p["b"]
-        w -= w.max(-1, keepdims=True)
-        post = w + experts
-        post -= post.max(-1, keepdims=True)
-        np.exp(w, out=w)
-        np.exp(post, out=post)
-        w /= w.sum(-1, keepdims=True)
-        post /= post.sum(-1, keepdims=True)
-        d = (w - post) * share[..., None]
-        dh = d @ (4 * p["out"]).T
-        dy = np.empty((len(x), WINDOW, 3 * WIDTH), np.float32)
-        dy[..., :WIDTH] = 0
-        dy[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dh
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= (dh * h).sum(-1, keepdims=True)
+        h = (a @ v).reshape(-1, WIDTH + 1)
+        real = np.flatnonzero(share.ravel() > 0)
+        h, by = h[real, :WIDTH], 1 / h[real, WIDTH:]
+        h *= by
+        w = (4 * p["out"]).T @ h.T  # (TOPICS, places)
+        w += p["b"][:, None]
+        post = w + experts.reshape(-1, TOPICS)[real].T
+        for z in (w, post):
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z /= z.sum(0)
+        w -= post
+        w *= share.ravel()[real]
+        g = {"out": 4 * (h.T @ w.T), "b": w.sum(1)}
+        dh = w.T @ (4 * p["out"]).T
+        dh *= by
+        of_a = np.zeros((len(at), WIDTH + 1), dh.dtype)
+        of_a[real, :WIDTH], of_a[real, WIDTH] = dh, -np.einsum("ij,ij->i", dh, h)
+        of_a = of_a.reshape(*place.shape, WIDTH + 1)
+        ds = of_a @ v.transpose(0, 2, 1)
         ds *= a
-        dq = ds @ k
-        dy[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-        real = share > 0
-        dy[np.broadcast_to(rows, place.shape)[real], place[real], :WIDTH] = dq[real]
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-        by_class, by_place = np.zeros((CLASSES + 1, 3 * WIDTH), np.float32), dy.sum(0)
-        by_class[flat[order[first]]] = np.add.reduceat(dy.reshape(-1, 3 * WIDTH)[order], first, axis=0)
-        of_maps = p["emb"].T @ by_class + p["pos"].T @ by_place
-        g = {"q": of_maps[:, :WIDTH] * root, "k": of_maps[:, WIDTH : 2 * WIDTH], "v": of_maps[:, 2 * WIDTH :]}
-        g |= {"out": 4 * h.reshape(-1, WIDTH).T @ d.reshape(-1, TOPICS), "b": d.sum((0, 1))}
-        return g | {"emb": by_class @ maps.T, "pos": by_place @ maps.T}
+        dy = np.empty((*x.shape, 3 * WIDTH), dh.dtype)
+        dy[..., :WIDTH] = 0
+        np.matmul(ds.transpose(0, 2, 1), q, out=dy[..., WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), of_a[..., :WIDTH], out=dy[..., 2 * WIDTH :])
+        dy = dy.reshape(len(flat), -1)
+        dy[at[real], :WIDTH] = (ds @ k).reshape(-1, WIDTH)[real]
+        of_maps = flat.T @ dy
+        back = dy @ maps.T
+        cells = np.arange((CLASSES + 1) * WIDTH).reshape(-1, WIDTH)[x]
+        emb = np.bincount(cells.ravel(), weights=back.ravel(), minlength=(CLASSES + 1) * WIDTH).reshape(-1, WIDTH).astype(back.dtype)
+        return g | {"q": of_maps[:, :WIDTH] * root, "k": of_maps[:, WIDTH : 2 * WIDTH], "v": of_maps[:, 2 * WIDTH :], "emb": emb, "pos": back.reshape(inputs.shape).sum(0)}
 
 
 class Model:
     """Counts, experts and gate. The size is fixed by COMMON_WORDS, TOPICS and CLASSES."""
 
-    def __init__(self, words: list[str], by_topic: np.ndarray, totals: np.ndarray, distinct: int, once: int):
+    def __init__(self, words: pa.Array, by_topic: np.ndarray, totals: np.ndarray, distinct: int, once: int):
         """by_topic: counts (words, TOPICS) of the common words; totals: of all words, by topic; once: how many words have count 1."""
         self.words, self.total, self.distinct = words, float(totals.sum()), distinct
         self.totals = totals
@@ -274,10 +319,10 @@ class Model:
 
     def spell_common(self, ids_of: Ids) -> None:
         """What the common words' lookups give; the text's end comes last, with no ids."""
-        self.index = np.array([i for i, w in enumerate(self.words) if w != END_WORD], np.int64)
-        self.sizes, self.classes, self.rows = self.spell([w for w in self.words if w != END_WORD], self.common[self.index], ids_of)
-        end = self.words.index(END_WORD) if END_WORD in self.words else len(self.words)
-        self.end_row = self.common[end]
+        is_end = pc.equal(self.words, END_WORD).to_numpy(zero_copy_only=False)
+        self.index, self.words = np.flatnonzero(~is_end), self.words.filter(pa.array(~is_end))
+        self.sizes, self.classes, self.rows = self.spell(self.words.to_pylist(), self.common[self.index], ids_of)
+        self.end_row = self.common[np.flatnonzero(np.append(is_end, True))[0]]
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -285,10 +330,29 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
 
-def looked_up(found: pa.StructArray) -> tuple[dict[int, int], np.ndarray]:
-    """From structs (h, c0 ..): each hash's place in the counts (words, TOPICS), whose last row is that of unseen words."""
+def looked_up(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """From structs (h, c0 ..): the hashes in order, and their counts (words, TOPICS), whose last row is that of unseen words."""
     h, *c = (x.to_numpy(zero_copy_only=False) for x in found.flatten())
-    return {x: i for i, x in enumerate(h.tolist())}, np.concatenate([np.stack(c, 1), np.zeros((1, TOPICS))])
+    h, first = np.unique(h, return_index=True)
+    return h, np.concatenate([np.stack(c, 1)[first], np.zeros((1, TOPICS))])
+
+
+def numbered(texts: pa.Array, common: dict[str, int]) -> tuple[list[bytes], pa.Array]:
+    """Each text as numbers, from which and the common words (and their places) its words can be told again: that of a common word is its place among them, those of
+    a text's other words follow. Four bytes each, first all lowest bytes, which packs well; and the other words, joined by spaces."""
+    flat, n = split_words(texts)
+    x = flat.dictionary_encode()
+    code, stops = x.indices.to_numpy(), np.append(0, np.cumsum(n))
+    number = np.array([*map(common.get, x.dictionary.to_pylist(), repeat(-1))], np.int64)[code]
+    other = np.flatnonzero(number < 0)
+    owner = np.searchsorted(stops, other, "right") - 1
+    key, at = np.unique(owner * max(len(x.dictionary), 1) + code[other], return_inverse=True)
+    begin = np.searchsorted(key, np.arange(len(n) + 1) * max(len(x.dictionary), 1))  # of each text's other words
+    number[other] = len(common) + at - begin[owner]
+    names = x.dictionary.take(pa.array(key % max(len(x.dictionary), 1)))
+    rest = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), names), " ")
+    raw = number.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [raw[a:b].T.tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())], rest
 
 
 class Scorer:
@@ -296,42 +360,44 @@ class Scorer:
 
     def __init__(self, model: Model, tokenizer: str):
         self.model, self.ids_of = model, Ids.of(tokenizer, BYTE_LEVEL)
-        self.number = {model.words[i]: k for k, i in enumerate(model.index.tolist())}
         self.begins = np.cumsum(model.sizes) - model.sizes
 
-    def inputs(self, texts: list[list[str]], found: tuple[dict[int, int], np.ndarray]):
-        """Number of each word (from that of the common ones on: others, as they come), those others' counts, ids of each word, all ids' classes, experts (TOPICS, words).
+    def inputs(self, numbers: pa.Array, rest: pa.Array, found: pa.StructArray):
+        """How many words each text has; number of each word (from that of the common ones on: others, as they come), those others' counts, ids of each word, all ids' classes, experts (words, TOPICS).
 
-        found: looked_up() for all others that have counts.
+        numbers, rest: from numbered(); found: structs of all others that have counts.
         """
-        m, flat = self.model, [w for t in texts for w in t]
-        number = np.array([*map(self.number.get, flat, repeat(-1))], np.int64)
-        others: dict[str, int] = {}
-        at = np.flatnonzero(number < 0)
-        if len(at):
-            n = len(m.sizes)
-            number[at] = [n + others.setdefault(flat[i], len(others)) for i in at.tolist()]
-        counts = found[1][[found[0].get(h, -1) for h in hashes(list(others)).tolist()]]
-        sizes, classes, rows = m.spell(list(others), m.count_rows(counts), self.ids_of)
-        n, rare = len(m.sizes), np.zeros(len(number), bool)
-        rare[at] = True
+        m = self.model
+        planes = [np.frombuffer(x, np.uint8).reshape(4, -1) for x in numbers.to_pylist()]
+        n_words = np.array([x.shape[1] for x in planes], np.int64)
+        number = np.ascontiguousarray(np.concatenate([*planes, np.zeros((4, 0), np.uint8)], 1).T).view("<u4").ravel().astype(np.int64)
+        n, (others, n_others) = len(m.sizes), parts_of(rest)
+        rare = number >= n
+        number[rare] += np.repeat(np.cumsum(n_others) - n_others, n_words)[rare]
+        others, (known, counts) = others.to_pylist(), looked_up(found)
+        if len(known):
+            h = hashes(others)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            counts = counts[np.where(known[at] == h, at, len(known))]
+        else:
+            counts = np.zeros((len(others), TOPICS))
+        sizes, classes, rows = m.spell(others, m.count_rows(counts), self.ids_of)
         common, other = number[~rare], number[rare] - n
         size, begin, out = np.empty(len(number), np.int64), np.empty(len(number), np.int64), np.empty((len(number), TOPICS), np.float32)
         size[~rare], begin[~rare], out[~rare] = m.sizes[common], self.begins[common], m.rows[common]
         size[rare], begin[rare], out[rare] = sizes[other], len(m.classes) + (np.cumsum(sizes) - sizes)[other], rows[other]
         stops = np.cumsum(size)
         take = np.arange(stops[-1] if len(stops) else 0) + np.repeat(begin - stops + size, size)
-        return number, counts.sum(1), size, np.concatenate([m.classes, classes])[take], np.ascontiguousarray(out.T)
+        return n_words, number, counts.sum(1), size, np.concatenate([m.classes, classes])[take], out
 
-    def windows(self, texts: list[list[str]], found: tuple[dict[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, numbers: pa.Array, rest: pa.Array, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What Gate.train() takes: the texts in windows one after the other, each word in that of the place before it. Windows where no word starts have nothing to learn from."""
-        _, _, size, classes, rows = self.inputs(texts, found)
-        n_words = np.array([len(t) for t in texts], np.int64)
-        owner, upto = np.repeat(np.arange(len(texts)), n_words), np.append(0, np.cumsum(size))
+        n_words, _, _, size, classes, rows = self.inputs(numbers, rest, found)
+        owner, upto = np.repeat(np.arange(len(n_words)), n_words), np.append(0, np.cumsum(size))
         words_end = np.cumsum(n_words)
         ids = upto[words_end] - upto[words_end - n_words]
         begin = np.cumsum(ids + 1) - ids - 1  # of each text's start in a row of all
-        seq = np.full(len(classes) + len(texts) + WINDOW, CLASSES, np.int16)
+        seq = np.full(len(classes) + len(n_words) + WINDOW, CLASSES, np.int16)
         inside = np.ones(len(seq), bool)
         inside[begin] = False
         inside[len(seq) - WINDOW :] = False
@@ -340,20 +406,19 @@ class Scorer:
         start = begin[owner] + place // WINDOW * WINDOW
         first = np.flatnonzero(np.append(True, start[1:] != start[:-1])) if len(start) else start
         many = np.diff(np.append(first, len(start)))
-        return seq[start[first, None] + np.arange(WINDOW)], many, place % WINDOW, np.ascontiguousarray(rows.T)
+        return seq[start[first, None] + np.arange(WINDOW)], many, place % WINDOW, rows
 
-    def score(self, texts: list[list[str]], found: tuple[dict[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each text, the words' numbers, and the counts behind numbers from that of the common ones on."""
+    def score(self, numbers: pa.Array, rest: pa.Array, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text, how many words it has, the words' numbers, and the counts behind numbers from that of the common ones on."""
         m = self.model
-        number, others, size, classes, rows = self.inputs(texts, found)
-        n_words = np.array([len(t) for t in texts], np.int64)
+        n_words, number, others, size, classes, rows = self.inputs(numbers, rest, found)
         word_ends = np.cumsum(n_words)
         ids_upto = np.append(0, np.cumsum(size))
         sizes = ids_upto[word_ends] - ids_upto[word_ends - n_words] + 1
         # the ids of a text behind one start; place p of that sequence is the input before id p, or before the end
         begins = np.cumsum(sizes) - sizes
         seq = np.full(int(sizes.sum()) + WINDOW, CLASSES, np.int16)
-        owner = np.repeat(np.arange(len(texts)), n_words)
+        owner = np.repeat(np.arange(len(n_words)), n_words)
         starts = ids_upto[:-1] + owner  # the place before each word
         inside = np.ones(len(seq), bool)
         inside[begins] = False
@@ -377,17 +442,17 @@ class Scorer:
             take = k < many[w, None]
             seen[own[take]] = h[take]
         # a column of experts for each asked place: the words of a text, then its end
-        total = len(number) + len(texts)
+        total = len(number) + len(n_words)
         ends = np.cumsum(n_words + 1) - 1
         is_end = np.zeros(total, bool)
         is_end[ends] = True
         own = np.empty((TOPICS, total), np.float32)
-        own[:, ~is_end] = rows
+        own[:, ~is_end] = rows.T
         own[:, is_end] = m.end_row[:, None]
         weights = m.gate.log_weights(seen)
         logs = _lse(weights + own) - _lse(weights)
         logs = np.where(np.isfinite(logs), logs, np.log(0.5 / (m.total + 0.5 * (m.distinct + 1))))
-        return np.add.reduceat(logs.astype(np.float64), ends - n_words) / np.log(10) if len(ends) else np.zeros(0), number, others
+        return np.add.reduceat(logs.astype(np.float64), ends - n_words) / np.log(10) if len(ends) else np.zeros(0), n_words, number, others
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
@@ -400,7 +465,7 @@ def _lse(x: np.ndarray) -> np.ndarray:
 
 def _sums(df: DataFrame, f, size: int) -> np.ndarray:
     """The sum over all rows of f(batch), an array of `size` longs: by task, then by 16 tasks, then here."""
-    schema = "part int, sums binary"
+    schema = "sums binary"
     arrow = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,17 +474,17 @@ def _sums(df: DataFrame, f, size: int) -> np.ndarray:
             if b.num_rows:
                 s += f(b)
         if s.any():
-            yield to_batch({"part": [TaskContext.get().partitionId() % 16], "sums": [zlib.compress(s.tobytes(), 1)]}, arrow)
+            yield to_batch({"sums": [zlib.compress(s.tobytes(), 1)]}, arrow)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(1).to_pylist():
+            for x in b.column(0).to_pylist():
                 s += np.frombuffer(zlib.decompress(x), np.int64)
         if s.any():
-            yield to_batch({"part": [0], "sums": [zlib.compress(s.tobytes(), 1)]}, arrow)
+            yield to_batch({"sums": [zlib.compress(s.tobytes(), 1)]}, arrow)
 
-    return sum((np.frombuffer(zlib.decompress(r.sums), np.int64) for r in df.mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect()), np.zeros(size, np.int64))
+    return sum((np.frombuffer(zlib.decompress(r.sums), np.int64) for r in df.mapInArrow(count, schema).repartition(16).mapInArrow(add, schema).collect()), np.zeros(size, np.int64))
 
 
 def fit(learn: DataFrame, counts: DataFrame, tokenizer: str) -> Model:
@@ -428,7 +493,7 @@ def fit(learn: DataFrame, counts: DataFrame, tokenizer: str) -> Model:
     totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.count(F.lit(1)).alias("v"), F.count(F.when(F.col("c") == 1, 1)).alias("once")).first()
     common = common_words(counts).select("word", "c", *names).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     by_topic = np.stack([common.column(c).to_numpy() for c in names], 1).astype(float)
-    model = Model(common.column(0).to_pylist(), by_topic, np.array([totals[c] for c in names], float), totals.v, totals.once)
+    model = Model(common.column(0).combine_chunks(), by_topic, np.array([totals[c] for c in names], float), totals.v, totals.once)
 
     def spelled(b: pa.RecordBatch) -> dict:
         n, ids = Ids.of(tokenizer, BYTE_LEVEL).of_words(b.column(0).to_pylist())
@@ -468,15 +533,15 @@ def fit(learn: DataFrame, counts: DataFrame, tokenizer: str) -> Model:
 
 
 def train_gate(held: DataFrame, shared, tokenizer: str) -> Gate:
-    """The gate, from held(doc_id, text, found, deal), see counted(): every window of every text.
+    """The gate, from held(numbers, rest, found, turn, deal), see counted(): every window of every text.
 
     The texts are dealt to rounds and parts by a hash, whatever task reads them. In a round each task cuts its texts to windows and trains
     its parts, all from the same weights; the driver gets no more than their means, summed in 16 tasks first. How many parts there are grows with the corpus.
     """
-    schema = "part int, n double, w binary"
+    schema = "n double, w binary"
     arrow = arrow_schema(schema)
+    small_batches(held.sparkSession, 200)  # a batch's words and windows are many times its size
     gate, empty = Gate(), {c: v.shape for c, v in Gate().p.items()}
-    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for done in range(ROUNDS):
         weights = gate.p
 
@@ -494,33 +559,33 @@ def train_gate(held: DataFrame, shared, tokenizer: str) -> Gate:
                 n, flat = n + len(x[:most]), flat + len(x[:most]) * np.concatenate([v.ravel() for v in gate.p.values()]).astype(float)
 
             for b in batches:
-                deal = b.column(2).to_numpy()
+                deal = b.column(3).to_numpy()
                 cuts = np.flatnonzero(np.diff(deal)) + 1
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(deal)]):
                     if hi > lo:
                         if own and deal[lo] != last:
                             part(2 * PART_WINDOWS)
                         last = deal[lo]
-                        texts, found = b.column(0)[lo:hi], b.column(1)[lo:hi]
-                        if len((x := scorer.windows(text_words(utf8(texts)), looked_up(found.flatten())))[0]):
+                        numbers, rest, found = (b.column(k)[lo:hi] for k in range(3))
+                        if len((x := scorer.windows(numbers, rest, found.flatten()))[0]):
                             own.append(x)
                         while sum(len(x[0]) for x in own) >= 2 * PART_WINDOWS:
                             part(2 * PART_WINDOWS)
             if own:
                 part(2 * PART_WINDOWS)
             if n:
-                yield to_batch({"part": [TaskContext.get().partitionId() % 16], "n": [float(n)], "w": [flat.tobytes()]}, arrow)
+                yield to_batch({"n": [float(n)], "w": [flat.tobytes()]}, arrow)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, w = 0.0, 0.0
             for b in batches:
-                for m, x in sorted(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for m, x in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                     n, w = n + m, w + np.frombuffer(x)
             if n:
-                yield to_batch({"part": [0], "n": [n], "w": [w.tobytes()]}, arrow)
+                yield to_batch({"n": [n], "w": [w.tobytes()]}, arrow)
 
-        turned = held.where(turn == done).select("text", "found", "deal")
-        sums = sorted((r.n, bytes(r.w)) for r in turned.mapInArrow(step, schema).repartition(16, "part").mapInArrow(add, schema).collect())
+        turned = held.where(F.col("turn") == done).select("numbers", "rest", "found", "deal")
+        sums = sorted((r.n, bytes(r.w)) for r in turned.mapInArrow(step, schema).repartition(16).mapInArrow(add, schema).collect())
         if not sums:
             continue
         windows = sum(n for n, _ in sums)
@@ -534,26 +599,32 @@ def train_gate(held: DataFrame, shared, tokenizer: str) -> Gate:
 
 
 def counted(rows: DataFrame, counts: DataFrame, model: Model, shared) -> DataFrame:
-    """rows(doc_id, learn, text) with found: the counts of each text's words that aren't common, structs (h, c0 ..); and deal.
+    """rows(doc_id, learn, text) as doc_id, learn, the text's words as numbers and rest (see numbered()), found: the counts of the words that aren't common, structs (h, c0 ..); turn and deal.
 
     Rows meet them by a hash of doc_id and text; two that share one get each other's too, which change nothing. That hash deals
-    the rows, too: those with the same `deal` are in one task, sorted; how many of these there are, the model's windows say.
+    the rows to rounds and parts, too: those with the same `deal` are in one task, one after the other, however many tasks there are;
+    how many deals there are, the model's windows say.
     """
     windows = model.ids // WINDOW
     deals = max(1, -(-windows // (ROUNDS * PART_WINDOWS)), min(LEAST_PARTS, windows // LEAST_WINDOWS))
     names = [f"c{k}" for k in range(TOPICS)]
     texts = rows.select("doc_id", "learn", "text", F.xxhash64("doc_id", "text").alias("row"))
 
-    def others(b: pa.RecordBatch) -> dict:
-        common = set(shared.value.words)
-        rare = [hashes(list({w for w in t if w not in common})) for t in text_words(utf8(b.column(1)))]
-        return {"r": np.repeat(b.column(0).to_numpy(), [len(x) for x in rare]), "w": np.concatenate(rare)}
+    common: dict[str, int] = {}  # made once a task
+
+    def each(b: pa.RecordBatch) -> dict:
+        if not common:
+            common.update((w, i) for i, w in enumerate(shared.value.words.to_pylist()))
+        numbers, rest = numbered(b.column(2), common)
+        return {"doc_id": b.column(0), "learn": b.column(1), "row": b.column(3), "numbers": numbers, "rest": rest}
 
-    found = map_arrow(texts.select("row", "text"), others, "r long, w long").join(counts.select("h", *names), F.col("w") == F.col("h"))
-    found = found.groupBy(F.col("r").alias("row")).agg(F.collect_list(F.struct("h", *names)).alias("found"))
-    both = texts.withColumn("own", F.lit(True)).unionByName(found, allowMissingColumns=True).repartition(deals, "row")  # a join would deal them anew
-    whole = both.withColumn("found", F.first("found", ignorenulls=True).over(W.partitionBy("row"))).where("own")
-    return whole.select("doc_id", "learn", "text", "found", F.pmod(F.hash("row"), F.lit(deals)).alias("deal"))
+    texts = table(map_arrow(texts, each, "doc_id long, learn boolean, row long, numbers binary, rest string"), "numbered")
+    pairs = texts.where("rest <> ''").select("row", F.explode(F.split("rest", " ")).alias("word")).select("row", F.xxhash64("word").alias("w"))
+    found = pairs.join(counts.select("h", *names), F.col("w") == F.col("h")).select("row", F.struct("h", *names).alias("f"))
+    both = texts.select("row", F.struct("doc_id", "learn", "numbers", "rest").alias("own")).unionByName(found, allowMissingColumns=True)
+    both = both.withColumn("turn", F.pmod(F.xxhash64("row"), F.lit(ROUNDS)).cast("int")).withColumn("deal", F.pmod(F.hash("row"), F.lit(deals)).cast("int"))
+    whole = both.repartitionById(deals, F.col("deal")).groupBy("deal", "turn", "row").agg(F.collect_list("own").alias("own"), F.collect_list("f").alias("found"))
+    return whole.select("deal", "turn", "row", "found", F.inline("own")).sortWithinPartitions("deal", "turn", "row").drop("row")
 
 
 def common_words(counts: DataFrame) -> DataFrame:
@@ -635,7 +706,8 @@ def score_rows(rows: DataFrame, model: Model, counts: DataFrame, n_texts: int, t
 
 
 def _scored(held: DataFrame, model: Model, n_texts: int, tokenizer: str) -> DataFrame:
-    """score_texts() of held(doc_id, learn, text, found), see counted()."""
+    """score_texts() of held(doc_id, learn, numbers, rest, found), see counted()."""
+    small_batches(held.sparkSession, 200)
     shared = held.sparkSession.sparkContext.broadcast(model)
     scored = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored_arrow = arrow_schema(scored)
@@ -648,10 +720,7 @@ def _scored(held: DataFrame, model: Model, n_texts: int, tokenizer: str) -> Data
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = text_words(utf8(b.column(2)))
-            found = b.column(3).flatten()
-            score, number, counts = scorer.score(texts, looked_up(found))
-            n = np.array([len(t) for t in texts])
+            score, n, number, counts = scorer.score(b.column(2), b.column(3), b.column(4).flatten())
             at = np.cumsum(n) - n
             known = np.append(np.concatenate([np.ones(len(base_of), bool), counts > 0])[number], False)
             sums = np.append(np.concatenate([base_of, np.log10(counts + 0.5) - below])[number], 0.0)
@@ -659,4 +728,4 @@ def _scored(held: DataFrame, model: Model, n_texts: int, tokenizer: str) -> Data
             add = lambda x: np.where(n > 0, np.add.reduceat(x, edges)[::2], 0)
             yield to_batch({"doc_id": b.column(0), "learn": b.column(1), "n_tokens": n + 1, "n_known": add(known.astype(np.int64)) + int(n_texts > 0), "train_tokens": np.full(len(n), int(m.total)), "base_score": add(sums) + end, "score": score}, scored_arrow)
 
-    return held.mapInArrow(each, scored)
+    return held.select("doc_id", "learn", "numbers", "rest", "found").mapInArrow(each, scored)

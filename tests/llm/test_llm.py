@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -513,6 +514,34 @@ def test_op8_gradient():
         assert (around[0] - around[1]) / 2e-4 == pytest.approx(g[i], rel=1e-3), name
 
 
+def test_op8_deals_stay_whole_in_more_tasks(spark, monkeypatch):
+    """A cluster that deals keys to more partitions than asked for still gets each deal in one task, in a row, and so as few parts to train as there are deals."""
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 5)
+    frame, path = type(spark.range(1)), queries.tokenizer_path("byte_bpe_50k.json")
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *c, f=frame.repartition: f(self, max(n, 11) if c and isinstance(n, int) else n, *c))
+    rows = documents(spark, [" ".join(t.split()[:40]) for t in texts_of_words()]).select("doc_id", "text", F.lit(True).alias("learn"))
+    model, counts, _ = lm.fitted(rows, path)
+    held = lm.counted(rows, counts, model, spark.sparkContext.broadcast(model))
+    tasks = [[r.deal for r in t] for t in held.select("deal").rdd.glom().collect()]
+    runs = [d for t in tasks for i, d in enumerate(t) if i == 0 or t[i - 1] != d]
+    assert sorted(runs) == list(range(lm.LEAST_PARTS)) and sum(map(len, tasks)) == 200
+
+
+def test_op8_numbers_tell_the_words():
+    """What is stored of a text between the steps is all of its words, in order."""
+    docs = [*texts_of_words(), None, "", " \t\n", "The the THE\x0bend é\x00 zz zz yy zz", "é" * 5000, "yy  q " * 3000]
+    want = lm.text_words([(t or "").encode() for t in docs])
+    common = {w: i for i, w in enumerate(sorted({w for t in want for w in t[::3]}))}
+    column = pa.array([t and t.encode() for t in docs], pa.binary())
+    for part in (column, column.slice(150), column.slice(200, 1), column.slice(0, 0)):
+        numbers, rest = lm.numbered(part, common)
+        for i, (x, r) in enumerate(zip(numbers, rest.to_pylist(), strict=True), len(column) - len(part) if len(part) > 1 else 200):
+            own = [*common, *r.split()]
+            assert [own[k] for k in np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()] == want[i]
+    broken = lm.split_words(pa.array([b"a \xff\xfeB", b"c"], pa.binary()))
+    assert (broken[0].to_pylist(), broken[1].tolist()) == (["a", "\ufffd\ufffdb", "c"], [2, 1])
+
+
 def test_pipeline_links_by_fingerprints(spark, monkeypatch):
     """Without any min-hash key, BK-trees of SimHash fingerprints find what differs in 4 bits at most; the sets decide."""
     pipeline = pytest.importorskip("corpus_pipeline")
