@@ -83,6 +83,12 @@ def test_parse(spark):
         assert (got and tuple(got)) == want, text
 
 
+def test_parse_of_long_numbers(spark):
+    for text, want in [("9000-10000 words", (9000, 10000)), ("12340–16700 words", (12340, 16700)), ("123456789-200000000 words", (123456789, 200000000)), ("900000000-999999999 words", (900000000, 999999999)), ("12000 words", (10200, 13800)), ("words 12000-15000", (12000, 15000)), ("1234567890 words", None), ("20000-90000 words", (76500, 103500))]:
+        [got] = one(spark, lambda c: B.parse(c, "eng"), text)
+        assert (got and tuple(got)) == want, text
+
+
 def test_clauses_read_back(spark):
     dims = B.dimension(spark)
     for lang in B.LANGS:
