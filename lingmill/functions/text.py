@@ -32,6 +32,11 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """White space alone, or nothing; ends at the first other character."""
+    return ~c.rlike(r"(?U)\S")
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
@@ -99,28 +104,37 @@ def sentence_bucket(c: Column) -> Column:
 
 
 def count_in(c: Column, ranges: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{ranges}]", ""))
+    """Characters in the ranges: those that are gone when runs of them are cut out.
+
+    A match of each other character takes many times longer, and so do runs of the negated Latin set.
+    """
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{ranges}]+", ""))
 
 
 def script_fraction(c: Column, script: str) -> Column:
     """Share of letters of a Unicode script (Latin, Devanagari, Han ...; Japanese: Han, Hiragana or Katakana); no letters: 1."""
     names = ["Han", "Hiragana", "Katakana"] if script == "Japanese" else [script]
-    letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    own = F.length(F.regexp_replace(F.regexp_replace(c, r"\P{L}", ""), "[^" + "".join(f"\\p{{Is{n}}}" for n in names) + "]", ""))
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    own = count_in(F.regexp_replace(c, r"\P{L}+", ""), "".join(f"\\p{{Is{n}}}" for n in names))
     return F.when(letters == 0, 1.0).otherwise(own / letters)
 
 
 def script_of(c: Column) -> Column:
-    """The range with most characters, the first of equal ones; none: 'none'."""
-    counts = [count_in(c, r) for r in RANGES.values()]
-    best = F.greatest(*counts)
-    return reduce(lambda out, x: F.when((x[1] == best) & (best > 0), x[0]).otherwise(out), reversed(list(zip(RANGES, counts))), F.lit("none"))
+    """The range with most characters, the first of equal ones; none: 'none'.
+
+    Latin letters that are over half of a text can't be outnumbered, so most texts are counted once. Else each range is
+    counted once: the counts are read in a lambda.
+    """
+    names = F.array(*map(F.lit, RANGES))
+    counts = F.array(*(count_in(c, r) for r in RANGES.values()))
+    most = F.transform(F.array(counts), lambda n: F.when(F.array_max(n) > 0, F.get(names, (F.array_position(n, F.array_max(n)) - 1).cast("int"))).otherwise("none"))
+    return F.when(2 * count_in(c, RANGES["latin"]) > F.length(c), "latin").otherwise(F.get(most, F.lit(0)))
 
 
 def non_latin_fraction(c: Column) -> Column:
     """Share of letters in NON_LATIN; no letters: 0."""
-    letters = F.length(F.regexp_replace(c, r"\P{L}", ""))
-    other = count_in(F.regexp_replace(c, r"\P{L}", ""), NON_LATIN)
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    other = count_in(F.regexp_replace(c, r"\P{L}+", ""), NON_LATIN)
     return F.when(letters == 0, 0.0).otherwise(other / letters)
 
 

@@ -29,6 +29,16 @@ def test_text(spark):
     assert one(spark, X.sections, "a\\n\\nb", "a\n\nb") == [["a", "b"], ["a\n\nb"]]
 
 
+def test_scripts(spark, capfd):
+    texts = ["abc", "कख", "ab кл", "aкл", "カナ漢字", "漢字x", "한글 ab", "123", "", None, "😀aé 😀", "😀😀क", "ab " + "১" * 9, "a😀ब", "aक"]
+    assert one(spark, X.script_of, *texts) == ["latin", "devanagari", "cyrillic", "cyrillic", "kana", "han", "hangul", "none", "none", "none", "latin", "devanagari", "bengali", "devanagari", "devanagari"]
+    assert one(spark, lambda c: X.script_fraction(c, "Latin"), "aé к1", "😀", "漢") == [2 / 3, 1.0, 0.0]
+    assert one(spark, lambda c: X.script_fraction(c, "Japanese"), "漢カa", "か") == [2 / 3, 1.0]
+    assert one(spark, X.is_blank, "", " \u3000\n", " a ", None) == [True, True, False, None]
+    spark.range(1).select(F.lit("x").alias("x")).select(X.script_of(F.col("x"))).explain()
+    assert capfd.readouterr().out.count("regexp_replace(") <= 9 and "[^" not in spark.range(1).select(X.script_of(F.col("id").cast("string")))._jdf.queryExecution().toString()
+
+
 def test_budget(spark):
     n = spark.createDataFrame([(0,), (5,), (40,), (137,), (999,), (25,), (35,)], "n int")
     got = {r.n: (r.b["lo"], r.b["hi"], r.c) for r in n.select("n", B.bounds(F.col("n")).alias("b"), B.clause_number(F.col("n")).alias("c")).collect()}
