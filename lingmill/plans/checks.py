@@ -26,7 +26,7 @@ def budget_buckets(rows: DataFrame, lang: str, measured: Column, band: Column, s
 
 def label_counts(rows: DataFrame, text: str, label: Column) -> DataFrame:
     """Rows by label; texts of white space alone count as 'empty', null labels as 'abstain'."""
-    return rows.groupBy(F.when(F.coalesce(X.strip(F.col(text)), F.lit("")) == "", "empty").otherwise(F.coalesce(label, F.lit("abstain"))).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.when(F.coalesce(X.is_blank(F.col(text)), F.lit(True)), "empty").otherwise(F.coalesce(label, F.lit("abstain"))).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_checks(rows: DataFrame, context_lang: str, output: str, refusal: Column, contrasts: list[tuple[str, str, str]] | None = None, sides: tuple[str, str] = ("bho", "hin")) -> DataFrame:
@@ -46,7 +46,7 @@ def context_checks(rows: DataFrame, context_lang: str, output: str, refusal: Col
 
 def script_histogram(rows: DataFrame, context_lang: str, output: str) -> DataFrame:
     """(context_lang, script, n) of answers that aren't blank."""
-    return rows.where(X.strip(F.col(output)) != "").groupBy(F.col(context_lang).alias("context_lang"), X.script_of(F.col(output)).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(~X.is_blank(F.col(output))).groupBy(F.col(context_lang).alias("context_lang"), X.script_of(F.col(output)).alias("script")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def digit_families(prompts: DataFrame, lang: str, text: str, dims: DataFrame) -> DataFrame:

@@ -218,6 +218,15 @@ def test_checks(spark):
     assert C.budget_buckets(bands.limit(0), "lang", F.col("n"), band).where("n > 0").count() == 0
 
 
+def test_script_histogram(spark):
+    answers = spark.createDataFrame([("en", "abc 12"), ("en", " \u3000\n"), ("en", "42"), ("de", "कख a"), ("de", None), ("de", "")], "ctx string, out string")
+    found = C.script_histogram(answers, "ctx", "out")
+    assert sorted(map(tuple, found.collect())) == [("de", "devanagari", 1), ("en", "latin", 1), ("en", "none", 1)]
+    assert "\\s+$" not in found._jdf.queryExecution().toString()  # blank texts are told without a copy of the text
+    labels = C.label_counts(answers, "out", F.when(F.col("out") != "42", "x"))
+    assert sorted(map(tuple, labels.collect())) == [("abstain", 1), ("empty", 3), ("x", 2)] and "\\s+$" not in labels._jdf.queryExecution().toString()
+
+
 def test_devanagari(spark):
     from lingmill.functions import lid
 
