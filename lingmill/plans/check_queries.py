@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import budget as B
 from ..functions import lid as L
 from ..functions import metrics as M
 from ..functions import text as X
+from ..functions.hashing import ranked, top_per_group
 from ..operators import relational as R
 from ..operators.shared import shared_root
 from ..streaming import ingest
@@ -159,7 +159,10 @@ def budget_rendering(spark, d):
 
 @query("SELECT lang, 7 AS item, n AS number, coalesce(bool_or(contains(text, n::VARCHAR)), false) AS ok FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents), (VALUES (1)) x(n) WHERE i = 3 GROUP BY lang, n")
 def aligned_anchors(spark, d):
-    rows = docs(spark, d).withColumn("row_index", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")) - 1).where("row_index < 46").select("lang", "row_index", F.col("text").alias("input"))
+    # first the numbers of 46 rows a language, then their texts: no task holds those of a whole language
+    ids = top_per_group(docs(spark, d).select(F.col("lang").alias("l"), F.col("doc_id").alias("i")), ["l"], 46, F.col("i"))
+    firsts = docs(spark, d).select("lang", "doc_id", F.col("text").alias("input")).join(F.broadcast(ids), F.col("lang").eqNullSafe(F.col("l")) & (F.col("doc_id") == F.col("i")), "left_semi")
+    rows = ranked(firsts, ["lang"], F.col("doc_id"), name="rn").where("rn <= 46").select("lang", (F.col("rn") - 1).alias("row_index"), "input")
     alignment = rows.select("lang", "row_index", (F.col("row_index") + 4).alias("item"))
     return C.anchors(rows, alignment, spark.createDataFrame([(7, 1)], "item int, number int"))
 

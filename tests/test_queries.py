@@ -96,3 +96,13 @@ def test_bootstrap_draws(spark, tmp_path):
     means = [m for m in map(mean, range(10_000)) if m is not None]
     assert got.p == pytest.approx(min(1, 2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / len(means)), abs=1e-6)
     assert got.low == pytest.approx(np.quantile(means, 0.025), abs=1e-6) and got.high == pytest.approx(np.quantile(means, 0.975), abs=1e-6)
+
+
+def test_anchors_of_first_rows(spark, tmp_path):
+    """Only the texts of a language's first rows leave their tasks; before, all of them met in one."""
+    rows = [(i, "1" if i in (9, 91) else "x", "a" if i < 90 else "b") for i in range(6, 200)] + [(300, "1", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["aligned_anchors"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {("a", 7, 1, True), ("b", 7, 1, False)}
+    plan = got._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "LeftSemi" in plan
