@@ -68,11 +68,12 @@ def align(frames: dict[str, DataFrame], key: str, same: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, column: str, *dims: DataFrame, name: str) -> DataFrame:
-    """First hit of `column` in dimension tables (key, value), in turn; else the raw code."""
+    """First hit of `column` in dimension tables (key, value), in turn; else the raw code. The tables are broadcast: rows aren't
+    moved to a task a code."""
     found = []
     for i, d in enumerate(dims):
         k, v = d.columns[:2]
-        df = df.join(d.select(F.col(k).alias(f"_k{i}"), F.col(v).alias(f"_v{i}")), F.col(column) == F.col(f"_k{i}"), "left")
+        df = df.join(F.broadcast(d.select(F.col(k).alias(f"_k{i}"), F.col(v).alias(f"_v{i}"))), F.col(column) == F.col(f"_k{i}"), "left")
         found.append(F.col(f"_v{i}"))
     return df.withColumn(name, F.coalesce(*found, F.col(column))).drop(*(f"_{x}{i}" for i in range(len(dims)) for x in "kv"))
 

@@ -88,7 +88,7 @@ def augment(rows: DataFrame, dims: DataFrame, fraction: float = 0.5, exact: floa
     Every row draws by its own hash, whether or not it could be changed. dims: budget.dimension().
     """
     n = B.measure(F.col("output"), F.col("lang"))
-    j = rows.join(dims.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), "left")
+    j = rows.join(F.broadcast(dims.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left")  # a row a language
     take = (F.col("task") == "qa-oeg") & (n >= least) & F.col("_lang").isNotNull() & (uniform("input", "output", seed=seed) < fraction)
     is_exact = uniform("input", "output", seed=f"{seed}e") < exact
     band = B.bounds(n)

@@ -106,3 +106,13 @@ def test_anchors_of_first_rows(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("a", 7, 1, True), ("b", 7, 1, False)}
     plan = got._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "LeftSemi" in plan
+
+
+@pytest.mark.parametrize("name", ["augment_budgets", "dimension_fallback"])
+def test_dimensions_move_no_rows(spark, tmp_path, name):
+    """Rows stay in their tasks; a join of them by language put a language in one."""
+    rows = [(i, "w " * (15 + i), lang) for i, lang in enumerate(["en", "de", "fr", "xx", None] * 20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.count() == (40 if name == "augment_budgets" else 100)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
