@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,21 +99,51 @@ def few_shot(rows: DataFrame, pool: DataFrame, key: str, tiers: list[list[str]],
     """(key, tier, shots): for each row k pool texts of the narrowest tier (columns that must agree) with k others than the row's own text.
 
     The pool is ranked once a tier by hash and only its first k + 1 distinct texts are joined, so a row meets k + 1 candidates
-    and not its whole stratum; the spare one stands in for a copy of the row itself.
+    and not its whole stratum; the spare one stands in for a copy of the row itself. Ranking and the choice of a tier go by the
+    texts' hashes: a text is moved once at most, to find those of the first k + 1, and rows meet texts only at the end.
     """
-    out = None
-    distinct = pool.select(*{c for t in tiers for c in t}, text).distinct()
+    columns = list(dict.fromkeys(c for t in tiers for c in t))
+    # the hash that ranks a text, told from a missing text's, which is no shot and has none
+    name = F.concat(digest(text, seed=seed), F.col(text).isNull().cast("int").cast("string"))
+    distinct = pool.select(*columns, name.alias("_h")).distinct()
+    heads = []
+    for tier in tiers:
+        own = distinct if set(tier) == set(columns) else distinct.select(*tier, "_h").distinct()
+        ranked = own.withColumn("_r", F.row_number().over(W.partitionBy(*(tier or [F.lit(0)])).orderBy("_h")))
+        heads.append(ranked.where(F.col("_r") <= k + 1).where(F.col("_h").endswith("0")).drop("_r"))
+
+    def joined(left: DataFrame, tier: list[str], right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_{c}" for c in tier})
+        if not tier:
+            return left.join(F.broadcast(right), F.lit(True), "left")  # one row
+        return left.join(right, [F.col(c) == F.col(f"_{c}") for c in tier], "left").drop(*(f"_{c}" for c in tier))
+
+    chosen = rows.select(key, *columns, F.when(F.col(text).isNotNull(), name).alias("_h"))
+    for n, tier in enumerate(tiers):
+        chosen = joined(chosen, tier, heads[n].groupBy(*tier).agg(F.array_sort(F.collect_list("_h")).alias("_heads")))
+        others = F.filter("_heads", lambda h: h != F.col("_h"))
+        chosen = chosen.withColumn(f"_n{n}", F.coalesce(F.size(others), F.lit(0)) >= k).drop("_heads")
+    chosen = chosen.withColumn("tier", F.coalesce(*(F.when(F.col(f"_n{n}"), n + 1) for n in range(len(tiers))))).where("tier IS NOT NULL")
+    chosen = keep_first(chosen.select(key, *columns, "_h", "tier"), [key], F.col("tier"))
+
+    wanted = reduce(DataFrame.unionAll, (h.select("_h") for h in heads)).distinct()
+    texts = pool.select(name.alias("_h"), text).join(wanted, "_h", "left_semi").groupBy("_h").agg(F.min(text).alias("_text"))
+    shot = F.array_sort(F.collect_list(F.struct("_h", "_text"))).alias("_shots")
+    # one table of the tiers with columns, in which those that a tier hasn't are null; a tier without columns is one row
+    narrow = [n for n, tier in enumerate(tiers) if tier]
+    out = chosen
+    if narrow:
+        found = reduce(DataFrame.unionAll, (heads[n].select(F.lit(n + 1).alias("_t"), *((F.col(c) if c in tiers[n] else F.lit(None).cast(pool.schema[c].dataType)).alias(f"_{c}") for c in columns), "_h") for n in narrow))
+        found = found.join(texts, "_h").groupBy("_t", *(f"_{c}" for c in columns)).agg(shot)
+        has = {c: F.col("tier").isin(*(n + 1 for n in narrow if c in tiers[n])) for c in columns}
+        out = out.join(found, (F.col("tier") == F.col("_t")) & reduce(and_, (F.when(has[c], F.col(c)).eqNullSafe(F.col(f"_{c}")) for c in columns)), "left").withColumnRenamed("_shots", "_narrow")
+    picks = [F.col("_narrow")] if narrow else []
     for n, tier in enumerate(tiers):
-        own = distinct.select(*tier, text).distinct()
-        head = own.withColumn("_r", F.row_number().over(W.partitionBy(*(tier or [F.lit(0)])).orderBy(digest(text, seed=seed), text))).where(F.col("_r") <= k + 1)
-        shots = head.groupBy(*tier).agg(F.sort_array(F.collect_list(F.struct("_r", F.col(text).alias("text")))).alias("_shots"))
-        shots = shots.select(*(F.col(c).alias(f"_{c}") for c in tier), "_shots")
-        on = [F.col(c) == F.col(f"_{c}") for c in tier]
-        joined = rows.join(shots, on, "left") if on else rows.join(F.broadcast(shots), F.lit(True), "left")  # one row of k + 1 texts
-        picked = F.slice(F.transform(F.filter(F.col("_shots"), lambda s: s["text"] != F.col(text)), lambda s: s["text"]), 1, k)
-        found = joined.select(key, F.lit(n + 1).alias("tier"), picked.alias("shots")).where(F.size("shots") == k)
-        out = found if out is None else out.unionByName(found)
-    return keep_first(out, [key], F.col("tier"))
+        if not tier:
+            out = out.join(F.broadcast(heads[n].join(texts, "_h").agg(shot.alias(f"_wide{n}"))), F.lit(True), "left")
+            picks.insert(0, F.when(F.col("tier") == n + 1, F.col(f"_wide{n}")))
+    others = F.filter(F.coalesce(*picks), lambda s: s["_h"] != F.col("_h"))
+    return out.select(key, "tier", F.slice(F.transform(others, lambda s: s["_text"]), 1, k).alias("shots"))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

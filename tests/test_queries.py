@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__
 from lingmill.functions.metrics import lcs
+from lingmill.operators import relational as R
 from lingmill.plans.queries import QUERIES, SQL
 
 #: Interpolated values that lie between two rounded ones may go to either side: how far apart these are.
@@ -116,3 +117,35 @@ def test_dimensions_move_no_rows(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path))
     assert got.count() == (40 if name == "augment_budgets" else 100)
     assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_shot_by_brute_force(spark):
+    """Copies of the row's own text, empty and missing texts, missing groups, a pool of other rows."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["s1", "s2", "s3", None]), rng.choice(["a", "b", None]), rng.choice(["", None, *(f"t{j}" for j in range(14))])) for i in range(80)]
+    pool = [(rng.choice(["s1", "s2", None]), rng.choice(["a", "b"]), rng.choice(["", None, *(f"t{j}" for j in range(14))])) for _ in range(60)]
+    rank = lambda t: (hashlib.md5(f"42:{t or ''}".encode()).hexdigest(), t is None)
+    for tiers in ([(0, 1), (0,), ()], [(0, 1), (1,)], [()]):
+        want = {}
+        for i, *group, text in rows:
+            for n, tier in enumerate(tiers, 1):
+                heads = sorted({p[2] for p in pool if all(p[c] == group[c] and p[c] is not None for c in tier)}, key=rank)[:4]
+                shots = [t for t in heads if t is not None and text is not None and t != text]
+                if len(shots) >= 3 and i not in want:
+                    want[i] = (n, shots[:3])
+        frames = spark.createDataFrame(rows, "id int, source string, lang string, text string"), spark.createDataFrame(pool, "source string, lang string, text string")
+        got = R.few_shot(*frames, "id", [[("source", "lang")[c] for c in t] for t in tiers], 3, "text").collect()
+        assert {r.id: (r.tier, r.shots) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_few_shot_moves_texts_once(spark, tmp_path):
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    rng = random.Random(4)
+    rows = [(i, f"s{i % 5}", "ab"[i % 2], rng.randbytes(2000).hex()) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    before = shuffled()
+    assert QUERIES["fewshot_tiers"](spark, str(tmp_path)).where("length(shots) = 12002").count() == 2000
+    assert shuffled() - before < 1.5 * 2000 * 4000
